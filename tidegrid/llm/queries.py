@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, matroska, mixing, pii, simhash
+from . import bpe, chat, hnsw, licenses, lines, matroska, mixing, pii, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,20 @@ def op7_bpe_forced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_embedding_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(_table(spark, sf_dir, "documents"))
+
+
 ALL = (
-    op1_license_scan, op2_pii_bootstrap, op3_matroska_packets, op5_chat_format, op6_simhash_bktree, op7_bpe_forced_cuts, op9_mix_sources,
+    op1_license_scan, op2_pii_bootstrap, op3_matroska_packets, op5_chat_format, op6_simhash_bktree, op7_bpe_forced_cuts, op8_embedding_hnsw, op9_mix_sources, op10_line_dedup,
 )
 
 
