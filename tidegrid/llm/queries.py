@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hnsw, licenses, lines, matroska, mixing, pii, simhash
+from . import bpe, chat, hnsw, licenses, lines, matroska, mixing, pii, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(_table(spark, sf_dir, "conversations"))
 
@@ -57,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    op1_license_scan, op2_pii_bootstrap, op3_matroska_packets, op5_chat_format, op6_simhash_bktree, op7_bpe_forced_cuts, op8_embedding_hnsw, op9_mix_sources, op10_line_dedup,
+    op1_license_scan, op2_pii_bootstrap, op3_matroska_packets, op4_toxicity_chain, op5_chat_format, op6_simhash_bktree, op7_bpe_forced_cuts, op8_embedding_hnsw, op9_mix_sources, op10_line_dedup,
 )
 
 
