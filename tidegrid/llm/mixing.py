@@ -89,6 +89,27 @@ def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
     return edge.select("n_rank", "copies", "cut")
 
 
+def _ends(docs: DataFrame, weights: tuple[float, ...], cap: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size) of all rows, written once, and a row a source: own, source_size, target, copies, cut."""
+    slim = materialize(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size")
+        ),
+        "mix-sizes",
+    )
+    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(capped_targets(totals, weights, cap), "mix-targets").withColumnRenamed("source", "own")
+    ranked = slim.join(targets.select("own", "n_rank"), F.col("source").eqNullSafe(F.col("own")))
+    ends = thresholds(ranked.select("n_rank", F.xxhash64("doc_id").alias("h"), "size"), targets)
+    return slim, targets.join(ends, "n_rank", "left")
+
+
+def _copies(doc_id: Column, copies: Column, cut: Column, cap: int) -> Column:
+    """How often a document is taken."""
+    lead = F.shiftrightunsigned(F.xxhash64(doc_id.cast("long")), 64 - LEVEL_BITS * LEVELS)
+    return F.least(F.coalesce(copies, F.lit(0)) + F.coalesce((lead < cut).cast("long"), F.lit(0)), F.lit(cap)).cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = 3) -> DataFrame:
     """Rows (doc_id, text, source, ...) to (doc_id, size, source_size, target, taken), one row for each input row.
 
@@ -99,32 +120,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int
 
     One pass counts words and writes (doc_id, source, size); histograms and the final filter read that narrow table.
     """
-    slim = materialize(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size")
-        ),
-        "mix-sizes",
-    )
-    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(capped_targets(totals, weights, cap), "mix-targets")
-    known = targets.withColumnRenamed("source", "own")
-    hashed = slim.withColumn("h", F.xxhash64("doc_id"))
-    ranked = hashed.join(known.select("own", "n_rank"), F.col("source").eqNullSafe(F.col("own"))).select("n_rank", "h", "size")
-    ends = thresholds(ranked, targets)
-    named = targets.join(ends, "n_rank", "left").withColumnRenamed("source", "own")
-    lead = F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS)
-    copies = F.coalesce(F.col("copies"), F.lit(0)) + F.coalesce((lead < F.col("cut")).cast("long"), F.lit(0))
-    return hashed.join(named, F.col("source").eqNullSafe(F.col("own"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.least(copies, F.lit(cap))).alias("taken")
+    slim, ends = _ends(docs, weights, cap)
+    return slim.join(ends, F.col("source").eqNullSafe(F.col("own"))).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("doc_id"), F.col("copies"), F.col("cut"), cap)).alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = 3) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them, with the columns of ``docs``.
+    """The documents that the mix takes, each row as often as it takes it, with the columns of ``docs``.
 
-    A row repeats ``taken / size`` times; documents without words are not taken. doc_id should be unique: copies of a
-    row are decided by its doc_id, and rows that share one would be multiplied by each other.
+    The thresholds are joined to the rows by source; the texts are not otherwise moved. Rows as in mix().
     """
-    taken = mix(docs, weights, cap).where("taken > 0").select(F.col("doc_id").alias("mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("mix_copies"))
-    picked = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return picked.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    ends = _ends(docs, weights, cap)[1].select("own", "copies", "cut").toDF("mix_source", "mix_copies", "mix_cut")
+    joined = docs.alias("d").join(ends, F.col("d.source").eqNullSafe(F.col("mix_source")))
+    times = _copies(F.col("d.doc_id"), F.col("mix_copies"), F.col("mix_cut"), cap)
+    taken = joined.where(times > 0).withColumn("mix_time", F.explode(F.sequence(F.lit(1), times)))
+    return taken.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -212,3 +212,134 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, block
     linked = materialize(grouped.join(lows, "component").select(F.col("node").alias("fp"), "lowest"), "simhash-lowest")
     every = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id")), "simhash-ids")
     return prints.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near-duplicates by similarity of shingle sets ---
+
+
+def _minima(hashes: np.ndarray) -> list[int]:
+    """The smallest of the hashes under each of MINIMA bijections."""
+    odd = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD1B54A32D192ED03 << k) & FULL | 1 for k in range(1, MINIMA + 1)], np.uint64)
+    return [int(((hashes ^ hashes >> np.uint64(29)) * a).min()) for a in odd] if len(hashes) else [0] * MINIMA
+
+
+def _sketch(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, t1, t2, fp, minima): two hashes of the text, its set's fingerprint and smallest hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                sets = [np.unique(shingle_hashes(words_of(t), shingle)) for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns[:3],
+                        pa.array([signed(fingerprint(s)) for s in sets], pa.int64()),
+                        pa.array([[signed(m) for m in _minima(s)] for s in sets], pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "t1", "t2", "fp", "minima"],
+                )
+
+    return _named(docs).mapInArrow(run, "doc_id long, t1 long, t2 long, fp long, minima array<long>")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(family, node, fp, text) to the same with the shingle set as packed sorted uint64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                packed = [np.unique(shingle_hashes(words_of(t), shingle)).tobytes() for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(packed, pa.binary())], ["family", "node", "fp", "shingles"])
+
+    return texts.select("family", "node", "fp", "text").mapInArrow(run, "family long, node long, fp long, shingles binary")
+
+
+def similar_edges(nodes: list[int], fps: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> Iterator[tuple[int, int]]:
+    """Edges that join what is similar enough among a block's sets: nearest fingerprints first, and no comparison of
+    two that are joined already."""
+    size = np.array([len(s) for s in sets])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    fit = np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :])
+    a, b = np.nonzero(np.triu((apart <= radius) & fit, 1))
+    order = np.argsort(apart[a, b], kind="stable")
+    groups = Groups()
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        if groups.root(nodes[x]) != groups.root(nodes[y]):
+            both = np.concatenate([sets[x], sets[y]])
+            both.sort()
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            if shared >= similarity * (len(both) - shared):
+                groups.join(nodes[x], nodes[y])
+    yield from groups.edges()
+
+
+def _verified(sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Edges (u, v) between members of a family whose sets are similar enough.
+
+    A family over BLOCK members is dealt into blocks by hash, and each two of its blocks meet in one task.
+    """
+    size = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    size = size.select(F.bitwise_not("family").alias("far"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = (
+        sets.withColumn("far", F.bitwise_not("family")).join(size, "far").withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp", "shingles")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for k in range(0, b.num_rows, 256):
+                    yield from zip(*[c.to_pylist() for c in b.slice(k, 256).columns])
+
+        for _, own in groupby(rows(), key=lambda r: r[:3]):
+            held = list({r[3]: r for r in own}.values())
+            sets = [np.frombuffer(r[5], np.uint64) for r in held]
+            fps = np.array([r[4] for r in held], np.int64).view(np.uint64)
+            found = list(similar_edges([r[3] for r in held], fps, sets, similarity, radius)) if len(held) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return met.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(run, "u long, v long")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id; same columns.
+
+    Documents link if the sets of their ``shingle``-word shingles (lower-cased; of a shorter text, the whole sequence)
+    have a Jaccard similarity of at least ``similarity``; a group is all that links join, directly or through others.
+    Candidates share one of MINIMA smallest hashes and have fingerprints within WIDE_RADIUS bits, found by that shard's
+    BK-tree; similarity is then measured on the whole sets. Texts without words are one group, null text counts as
+    empty, null doc_ids come last, rows that repeat doc_id and text count once, an empty table gives no rows.
+    """
+    rows = materialize(_sketch(docs, shingle), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")
+    nodes = rows.groupBy("t1", "t2").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("minima").alias("minima"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    keyed = nodes.select(F.posexplode("minima").alias("k", "least"), F.col("node").alias("id"), "fp")
+    keyed = keyed.select(F.xxhash64("k", "least").alias("shard_key"), "id", "fp")
+    families = materialize(connected_components(sharded_links(keyed, WIDE_RADIUS), "near-links"), "near-families")
+    members = nodes.join(families, "node").select("t1", "t2", "node", F.col("first.doc_id").alias("low"), "fp", F.col("component").alias("family"))
+    members = materialize(members, "near-members")
+    texts = _named(docs).join(members, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("low")))
+    sets = materialize(_sets(texts, shingle), "near-sets")
+    groups = materialize(connected_components(_verified(sets, similarity, WIDE_RADIUS), "near-verified"), "near-groups")
+    named = nodes.select("t1", "t2", "first", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    best = named.groupBy("group").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("node"))
+    stays = nodes.join(best, "node").select(F.col("t1").alias("near_t1"), F.col("t2").alias("near_t2"), F.col("first.doc_id").alias("near_doc"))
+    same = rows.groupBy("t1", "t2", "doc_id").agg(F.count(F.lit(1)).alias("near_n"))
+    on = (F.col("near_t1") == F.col("t1")) & (F.col("near_t2") == F.col("t2")) & F.col("near_doc").eqNullSafe(F.col("doc_id"))
+    stays = materialize(stays.join(same, on).select("near_t1", "near_t2", "near_doc", "near_n"), "near-stays")
+    text = F.coalesce(F.col("d.text"), F.lit(""))
+    on = (F.xxhash64(text) == F.col("near_t1")) & (F.xxhash64(F.lit(7), text) == F.col("near_t2")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("near_doc"))
+    kept = docs.alias("d").join(stays, on)
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    once, often = kept.where("near_n = 1").select(*own), kept.where("near_n > 1")
+    return once.union(often.dropDuplicates(["near_t1", "near_t2", "near_doc"]).select(*own))
