@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 #: Labelled rows fitted on, features kept for each category, rows that must hold a feature, folds, ridge, rounds of
 #: gradient descent.
-SAMPLE, FEATURES, LEAST_ROWS, FOLDS, RIDGE, STEPS = 8_000, 1_500, 5, 5, 3e-4, 150
+SAMPLE, FEATURES, LEAST_ROWS, FOLDS, RIDGE, STEPS = 8_000, 300, 5, 5, 3e-4, 100
+#: Features are hashed to so many numbers: what the fit counts is bounded, whatever the words are.
+HASHES = 1 << 22
 #: Word beginnings used as features, by length.
 PREFIXES = (4, 5)
 #: Words that a task remembers the features of before it starts anew.
@@ -34,7 +36,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def features_of(word: str) -> list[int]:
     """A word's features as hashes: itself and its beginnings."""
     names = [word, *[f"{word[:n]}*" for n in PREFIXES if len(word) > n]]
-    return [xxhash.xxh64_intdigest(x) >> 1 for x in names]
+    return [xxhash.xxh64_intdigest(x) & HASHES - 1 for x in names]
 
 
 def words_of(text: str | None) -> set[str]:
@@ -108,23 +110,21 @@ def fit_chain(owner: np.ndarray, features: np.ndarray, labels: np.ndarray, categ
     ``owner`` and ``features`` are one entry for each feature of each different word of each sampled row.
     """
     n = len(labels)
-    names, place = np.unique(features, return_inverse=True)
-    pairs, times = np.unique(place.astype(np.int64) * max(1, n) + owner, return_counts=True)
-    place, rows = pairs // max(1, n), pairs % max(1, n)
-    common = np.bincount(place, minlength=len(names)) >= LEAST_ROWS
-    chosen = np.zeros(len(names), bool)
+    support = np.bincount(features, minlength=HASHES)
+    common = support >= LEAST_ROWS
+    chosen = np.zeros(HASHES, bool)
     for k in range(len(categories)):
-        y = labels[:, k]
-        yes, no = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-        a = np.bincount(place, weights=y[rows], minlength=len(names))
-        b = np.bincount(place, weights=1.0 - y[rows], minlength=len(names))
-        odds = np.log((a + 0.5) / (yes + 1)) - np.log((b + 0.5) / (no + 1))
+        yes = labels[:, k].astype(bool)
+        a = np.bincount(features[yes[owner]], minlength=HASHES)
+        b = support - a
+        odds = np.log((a + 0.5) / (yes.sum() + 1)) - np.log((b + 0.5) / (n - yes.sum() + 1))
         strength = np.where(common, np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), -1.0)
-        chosen[np.argsort(-strength, kind="stable")[:FEATURES]] = True
+        chosen[np.argpartition(-strength, FEATURES)[:FEATURES]] = True
     chosen &= common
+    names, kept = np.flatnonzero(chosen), chosen[features]
     number = np.cumsum(chosen) - 1
-    kept = chosen[place]
-    rows, cols, vals = rows[kept], number[place[kept]], np.log1p(times[kept].astype(float))
+    pairs, times = np.unique(owner[kept].astype(np.int64) * HASHES + features[kept], return_counts=True)
+    rows, cols, vals = pairs // HASHES, number[pairs % HASHES], np.log1p(times.astype(float))
     width, models = int(chosen.sum()), []
     earlier = np.zeros((n, 0))
     for k, category in enumerate(categories):
@@ -138,7 +138,7 @@ def fit_chain(owner: np.ndarray, features: np.ndarray, labels: np.ndarray, categ
         w, e, c = fit(np.ones(n, bool))
         models.append(Model(category, w, e, c))
         earlier = np.column_stack([earlier, odds])
-    return Chain(dict(zip(names[chosen].tolist(), range(width))), models)
+    return Chain(dict(zip(names.tolist(), range(width))), models)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], size: int = SAMPLE) -> DataFrame:
@@ -169,15 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 held = [sorted(f for w in words_of(t) for f in features_of(w)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(held, pa.list_(pa.int64()))], ["label_id", *names, "features"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(held, pa.list_(pa.int32()))], ["label_id", *names, "features"])
 
     sample = labelled_sample(docs, labels, categories)
     kinds = ", ".join(f"{c} int" for c in names)
-    got = sample.mapInArrow(count, f"label_id long, {kinds}, features array<long>").toPandas().sort_values(["label_id"], kind="stable")
-    folds = got.label_id.to_numpy(dtype=np.int64) * 2654435761 % (1 << 32) % FOLDS
-    owner = np.repeat(np.arange(len(got)), [len(x) for x in got.features])
-    features = np.concatenate([*got.features, np.zeros(0, np.int64)]).astype(np.int64)
-    return fit_chain(owner, features, got[names].to_numpy(dtype=np.int64).reshape(-1, len(names)), names, folds)
+    got = sample.mapInArrow(count, f"label_id long, {kinds}, features array<int>").toArrow()
+    ids = got.column("label_id").to_numpy()
+    held = got.column("features").combine_chunks()
+    folds = ids * 2654435761 % (1 << 32) % FOLDS
+    lengths = held.value_lengths().to_numpy(zero_copy_only=False) if len(held) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+    features = held.flatten().to_numpy(zero_copy_only=False) if len(held) else np.zeros(0, np.int32)
+    labels = np.column_stack([got.column(c).to_numpy() for c in names]).astype(np.int64).reshape(-1, len(names))
+    return fit_chain(owner, features, labels, names, folds)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
