@@ -51,7 +51,14 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders")
 
 
-TS, OD = micros(F.col("ts")), micros(F.col("o_orderdate"))
+def event_time() -> Column:
+    return micros(F.col("ts"))
+
+
+def order_time() -> Column:
+    return micros(F.col("o_orderdate"))
+
+
 DAY_SQL = "strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S')"
 
 
@@ -64,28 +71,28 @@ def counted(rows: DataFrame, native: Column, grid: Grid) -> DataFrame:
 
 @query(f"SELECT {DAY_SQL} AS part_lo, 'events_p' || strftime(ts, '%Y_%m_%d') AS label, count(*) AS n_rows, sum(value) AS sum_value FROM events GROUP BY 1, 2")
 def grid_time_day(spark: SparkSession, d: str) -> DataFrame:
-    cells = routing.with_cell(events(spark, d), TS, DAYS).groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("sum_value"))
+    cells = routing.with_cell(events(spark, d), event_time(), DAYS).groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("sum_value"))
     return cells.select(stamp(F.col("part_lo")).alias("part_lo"), label(DAYS, "events", F.col("part_lo")).alias("label"), "n_rows", "sum_value")
 
 
 @query("SELECT strftime(TIMESTAMP '2000-01-01' + INTERVAL (7 * CAST(floor(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER)) DAY, '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM events GROUP BY 1")
 def grid_time_week(spark: SparkSession, d: str) -> DataFrame:
-    return counted(events(spark, d), TS, WEEKS).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
+    return counted(events(spark, d), event_time(), WEEKS).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
 
 
 @query("SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM orders GROUP BY 1")
 def grid_time_month(spark: SparkSession, d: str) -> DataFrame:
-    return counted(orders(spark, d), OD, MONTHS).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
+    return counted(orders(spark, d), order_time(), MONTHS).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
 
 
 @query("""SELECT strftime((date_trunc('quarter', (o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' + INTERVAL 1 MONTH) - INTERVAL 1 MONTH) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM orders GROUP BY 1""")
 def grid_quarter_new_york(spark: SparkSession, d: str) -> DataFrame:
-    return counted(orders(spark, d), OD, QUARTERS_NY).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
+    return counted(orders(spark, d), order_time(), QUARTERS_NY).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows, min(event_id) AS first_id FROM events GROUP BY 1")
 def grid_time_hour(spark: SparkSession, d: str) -> DataFrame:
-    cells = routing.with_cell(events(spark, d), TS, HOURS).groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_id"))
+    cells = routing.with_cell(events(spark, d), event_time(), HOURS).groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_id"))
     return cells.select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows", "first_id")
 
 
@@ -101,19 +108,19 @@ def grid_floor_negative(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m-%d %H:%M:%S') AS next_lo FROM orders")
 def grid_next_month(spark: SparkSession, d: str) -> DataFrame:
-    return orders(spark, d).select("o_orderkey", stamp(MONTHS.next(MONTHS.floor(OD))).alias("next_lo"))
+    return orders(spark, d).select("o_orderkey", stamp(MONTHS.next(MONTHS.floor(order_time()))).alias("next_lo"))
 
 
 @query("SELECT 'orders_p' || strftime(min(o_orderdate), '%Y_%m') || '_to_' || strftime(date_trunc('month', max(o_orderdate)) + INTERVAL 1 MONTH, '%Y_%m') AS label, count(*) AS n_rows FROM orders")
 def label_coarse(spark: SparkSession, d: str) -> DataFrame:
-    bounds = plans.transmute_bounds(orders(spark, d), OD, MONTHS)
+    bounds = plans.transmute_bounds(orders(spark, d), order_time(), MONTHS)
     return bounds.select(label(MONTHS, "orders", F.col("lo"), F.col("hi")).alias("label"), "n_rows")
 
 
 @query("SELECT event_id, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 86400000000.0 AS part_fraction FROM events")
 def native_fraction(spark: SparkSession, d: str) -> DataFrame:
-    lo = DAYS.floor(TS)
-    return events(spark, d).select("event_id", fraction(lo, DAYS.next(lo), TS).alias("part_fraction"))
+    lo = DAYS.floor(event_time())
+    return events(spark, d).select("event_id", fraction(lo, DAYS.next(lo), event_time()).alias("part_fraction"))
 
 
 # --- registry ---
@@ -121,13 +128,13 @@ def native_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 def monthly(spark: SparkSession, d: str) -> DataFrame:
     """Registry of the months that orders fall in."""
-    cells = orders(spark, d).select(MONTHS.floor(OD).alias("lo")).distinct()
+    cells = orders(spark, d).select(MONTHS.floor(order_time()).alias("lo")).distinct()
     return cells.select("lo", MONTHS.next(F.col("lo")).alias("hi"))
 
 
 def mixed(spark: SparkSession, d: str) -> DataFrame:
     """Event registry: a coarse partition up to the 8th day, then days."""
-    bounds = events(spark, d).agg(F.min(DAYS.floor(TS)).alias("a"), F.max(DAYS.floor(TS)).alias("b"))
+    bounds = events(spark, d).agg(F.min(DAYS.floor(event_time())).alias("a"), F.max(DAYS.floor(event_time())).alias("b"))
     coarse = bounds.select(F.col("a").alias("lo"), (F.col("a") + 7 * DAY).alias("hi"))
     each = bounds.select(F.explode(F.sequence(F.col("a") + 7 * DAY, F.col("b"), F.lit(DAY))).alias("lo"))
     return coarse.union(each.select("lo", (F.col("lo") + DAY).alias("hi")))
@@ -142,7 +149,7 @@ SHOW = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 @query("SELECT CAST(max(o_orderkey) AS BIGINT) AS frontier, strftime(greatest(max(o_orderdate), make_timestamp(1706702400000000)), '%Y-%m-%d %H:%M:%S') AS clock_frontier FROM orders")
 def frontier_id(spark: SparkSession, d: str) -> DataFrame:
     rows = orders(spark, d)
-    return plans.frontier(rows, F.col("o_orderkey")).crossJoin(plans.frontier(rows, OD, NOW).select(stamp(F.col("frontier")).alias("clock_frontier")))  # one row each
+    return plans.frontier(rows, F.col("o_orderkey")).crossJoin(plans.frontier(rows, order_time(), NOW).select(stamp(F.col("frontier")).alias("clock_frontier")))  # one row each
 
 
 @query("SELECT max(event_id) // 1000 * 1000 + 1000 * (k + 1) AS lo, max(event_id) // 1000 * 1000 + 1000 * (k + 2) AS hi FROM events, range(30) t(k) GROUP BY k")
@@ -195,7 +202,7 @@ def straddling_partitions(spark: SparkSession, d: str) -> DataFrame:
 @query(MIXED_SQL + f"SELECT {SHOW.format('lo')}, count(e.event_id) AS n_rows, sum(e.value) AS sum_value FROM reg LEFT JOIN events e ON e.ts >= reg.lo AND e.ts < reg.hi GROUP BY reg.lo")
 def route_counts(spark: SparkSession, d: str) -> DataFrame:
     registry = mixed(spark, d)
-    rows = routing.route(events(spark, d), TS, registry, WEEK).groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("sum_value"))
+    rows = routing.route(events(spark, d), event_time(), registry, WEEK).groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("sum_value"))
     every = registry.select(F.col("lo").alias("part_lo")).join(rows, "part_lo", "left")
     return every.select(stamp(F.col("part_lo")).alias("lo"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "sum_value")
 
@@ -209,7 +216,7 @@ def range_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(MIXED_SQL + "SELECT event_id FROM events WHERE ts + INTERVAL 25 DAY NOT BETWEEN (SELECT min(lo) FROM reg) AND (SELECT max(hi) FROM reg) - INTERVAL 1 MICROSECOND")
 def refused_writes(spark: SparkSession, d: str) -> DataFrame:
-    return routing.refused_writes(events(spark, d), TS + 25 * DAY, mixed(spark, d), WEEK).select("event_id")
+    return routing.refused_writes(events(spark, d), event_time() + 25 * DAY, mixed(spark, d), WEEK).select("event_id")
 
 
 @query("""WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS lo FROM orders)
@@ -226,7 +233,7 @@ def overlap_join(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM events WHERE ts < TIMESTAMP '2024-01-08' GROUP BY 1")
 def regrain_counts(spark: SparkSession, d: str) -> DataFrame:
     start = 1_704_067_200_000_000
-    fine = copying.regrain(events(spark, d), TS, start, start + 7 * DAY, DAYS)
+    fine = copying.regrain(events(spark, d), event_time(), start, start + 7 * DAY, DAYS)
     return fine.groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows")).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
 
 
@@ -246,7 +253,7 @@ def regrain_pieces(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM events WHERE ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1")
 def regrain_aged_skip(spark: SparkSession, d: str) -> DataFrame:
     start = 1_704_067_200_000_000
-    fine = copying.regrain(events(spark, d), TS, start, start + 7 * DAY, DAYS, boundary=start + 3 * DAY)
+    fine = copying.regrain(events(spark, d), event_time(), start, start + 7 * DAY, DAYS, boundary=start + 3 * DAY)
     return fine.groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows")).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
 
 
@@ -298,7 +305,7 @@ def unmatched_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE epoch_us(ts) < epoch_us(TIMESTAMP '2024-01-15') AND event_id % 10 = 0")
 def backdated_rows(spark: SparkSession, d: str) -> DataFrame:
     edge = plans.retain_boundary(DAYS, F.lit(NOW), keep_days=16)
-    return events(spark, d).where((F.col("event_id") % 10 == 0) & (TS < edge)).select("event_id")
+    return events(spark, d).where((F.col("event_id") % 10 == 0) & (event_time() < edge)).select("event_id")
 
 
 # --- archive ---
@@ -306,7 +313,7 @@ def backdated_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = orders(spark, d)
-    return archive.chunk_plan(rows, OD, F.year("o_orderdate"), 4000, F.length("o_orderstatus") + F.length("o_orderpriority") + 24)
+    return archive.chunk_plan(rows, order_time(), F.year("o_orderdate"), 4000, F.length("o_orderstatus") + F.length("o_orderpriority") + 24)
 
 
 CHUNK_SQL = """WITH v AS (SELECT year(o_orderdate) AS part, epoch_us(o_orderdate) AS native, count(*) AS n, sum(length(o_orderstatus) + length(o_orderpriority) + 24) AS bytes FROM orders GROUP BY 1, 2),
@@ -326,7 +333,7 @@ def chunk_contiguity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT event_id // 10 AS native, count(*) AS n FROM events WHERE event_id >= 1000 GROUP BY 1), u AS (SELECT *, sum(n) OVER (ORDER BY native) AS upto FROM c)
-SELECT 100::BIGINT AS lo, (SELECT min(native) FROM u WHERE upto - n >= 205) AS hi, sum(n)::BIGINT AS n_rows FROM u WHERE upto - n < 205""")
+SELECT 100::BIGINT AS lo, coalesce((SELECT min(native) FROM u WHERE upto - n >= 205), 1099511627776) AS hi, sum(n)::BIGINT AS n_rows FROM u WHERE upto - n < 205""")
 def next_chunk(spark: SparkSession, d: str) -> DataFrame:
     return archive.next_chunk(events(spark, d), F.call_function("div", F.col("event_id"), F.lit(10)), 100, 1 << 40, 205)
 
@@ -346,7 +353,7 @@ def rows_digest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'backup/public.events_' || strftime(date_trunc('hour', ts), '%Y%m%d%H%M%S') || '00.ndjson' AS object_key, count(*) AS n_rows FROM events GROUP BY 1")
 def object_keys(spark: SparkSession, d: str) -> DataFrame:
-    cells = counted(events(spark, d), TS, HOURS)
+    cells = counted(events(spark, d), event_time(), HOURS)
     return cells.select(digest.object_key("backup/", "public", "events", digest.object_stem("time", F.col("part_lo")), "ndjson").alias("object_key"), "n_rows")
 
 
@@ -365,7 +372,7 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def years(spark: SparkSession, d: str) -> DataFrame:
-    cells = orders(spark, d).groupBy(F.year("o_orderdate").alias("part")).agg(F.min(OD).alias("lo"), (F.max(OD) + 1).alias("hi"))
+    cells = orders(spark, d).groupBy(F.year("o_orderdate").alias("part")).agg(F.min(order_time()).alias("lo"), (F.max(order_time()) + 1).alias("hi"))
     return cells
 
 
@@ -393,12 +400,12 @@ def archive_contract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S') AS at, left(printf('%012x', epoch_us(ts) // 1000), 8) AS head FROM events")
 def uuidv7_decode(spark: SparkSession, d: str) -> DataFrame:
-    ids = events(spark, d).withColumn("u", codec.uuid_bound(TS))
+    ids = events(spark, d).withColumn("u", codec.uuid_bound(event_time()))
     return ids.select("event_id", stamp(codec.uuid_decode(F.col("u"))).alias("at"), F.substring("u", 1, 8).alias("head"))
 
 
 def _text_ids(spark: SparkSession, d: str, spec: codec.TextTime) -> DataFrame:
-    return events(spark, d).withColumn("key", codec.text_time_encode(TS, spec)).withColumn("native", codec.text_time_decode(F.col("key"), spec))
+    return events(spark, d).withColumn("key", codec.text_time_encode(event_time(), spec)).withColumn("native", codec.text_time_decode(F.col("key"), spec))
 
 
 @query("SELECT event_id, epoch_us(ts) // 1000 * 1000 AS native, 9 AS width FROM events")
@@ -423,13 +430,13 @@ def text_time_objectid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS sampled, count(*) FILTER (event_id % 5 <> 0) AS plausible, count(*) FILTER (event_id % 5 <> 0) / count(*) AS fraction, false AS newest_in_future FROM events")
 def uuidv7_plausible(spark: SparkSession, d: str) -> DataFrame:
-    key = F.when(F.col("event_id") % 5 == 0, F.lit("00000000-0000-4000-8000-000000000000")).otherwise(codec.uuid_bound(TS))
+    key = F.when(F.col("event_id") % 5 == 0, F.lit("00000000-0000-4000-8000-000000000000")).otherwise(codec.uuid_bound(event_time()))
     return reports.plausibility(events(spark, d), codec.uuid_decode(key), NOW).select("sampled", "plausible", "fraction", "newest_in_future")
 
 
 @query("SELECT count(*) AS sampled, count(*) FILTER (event_id % 4 <> 0) AS plausible, count(*) FILTER (event_id % 4 <> 0) / count(*) AS fraction FROM events")
 def text_time_plausible(spark: SparkSession, d: str) -> DataFrame:
-    key = F.when(F.col("event_id") % 4 == 0, F.lit("not an id!")).otherwise(codec.text_time_encode(TS, codec.CUID))
+    key = F.when(F.col("event_id") % 4 == 0, F.lit("not an id!")).otherwise(codec.text_time_encode(event_time(), codec.CUID))
     return reports.plausibility(events(spark, d), codec.text_time_decode(key, codec.CUID), NOW).select("sampled", "plausible", "fraction")
 
 
