@@ -132,7 +132,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     The thresholds are joined to the rows by source; the texts are not otherwise moved. Rows as in mix().
     """
     ends = _ends(docs, weights, cap)[1].select("own", "copies", "cut").toDF("mix_source", "mix_copies", "mix_cut")
-    joined = docs.alias("d").join(ends, F.col("d.source").eqNullSafe(F.col("mix_source")))
-    times = _copies(F.col("d.doc_id"), F.col("mix_copies"), F.col("mix_cut"), cap)
-    taken = joined.where(times > 0).withColumn("mix_time", F.explode(F.sequence(F.lit(1), times)))
-    return taken.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    joined = docs.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.mix_source")))
+    times = _copies(F.col("d.doc_id"), F.col("e.mix_copies"), F.col("e.mix_cut"), cap)
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    return joined.where(times > 0).select(*own, F.explode(F.sequence(F.lit(1), times)).alias("mix_time")).select(*[F.col(f"`{c}`") for c in docs.columns])

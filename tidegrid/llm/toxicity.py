@@ -79,7 +79,7 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, wid
     target, weight = y.astype(float), use.astype(float)
     total, positive = weight.sum(), (weight * target).sum()
     if total == 0 or positive == 0 or positive == total:
-        rate = (positive + 0.5) / (total + 1.0)
+        rate = (positive + 0.05) / (total + 0.1 + 0.9 * (positive == 0))
         return np.zeros(width), np.zeros(dense.shape[1]), math.log(rate / (1 - rate))
     weight = weight * np.where(target > 0, 0.5 * total / positive, 0.5 * total / (total - positive)) / total
     x = np.zeros(width + dense.shape[1] + 1)
