@@ -333,7 +333,7 @@ def chunk_contiguity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT event_id // 10 AS native, count(*) AS n FROM events WHERE event_id >= 1000 GROUP BY 1), u AS (SELECT *, sum(n) OVER (ORDER BY native) AS upto FROM c)
-SELECT 100::BIGINT AS lo, coalesce((SELECT min(native) FROM u WHERE upto - n >= 205), 1099511627776) AS hi, sum(n)::BIGINT AS n_rows FROM u WHERE upto - n < 205""")
+SELECT 100::BIGINT AS lo, coalesce((SELECT min(native) FROM u WHERE upto - n >= 205), 1099511627776) AS hi, coalesce(sum(n), 0)::BIGINT AS n_rows FROM u WHERE upto - n < 205""")
 def next_chunk(spark: SparkSession, d: str) -> DataFrame:
     return archive.next_chunk(events(spark, d), F.call_function("div", F.col("event_id"), F.lit(10)), 100, 1 << 40, 205)
 
