@@ -338,8 +338,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     on = (F.col("near_t1") == F.col("t1")) & (F.col("near_t2") == F.col("t2")) & F.col("near_doc").eqNullSafe(F.col("doc_id"))
     stays = materialize(stays.join(same, on).select("near_t1", "near_t2", "near_doc", "near_n"), "near-stays")
     text = F.coalesce(F.col("d.text"), F.lit(""))
-    on = (F.xxhash64(text) == F.col("near_t1")) & (F.xxhash64(F.lit(7), text) == F.col("near_t2")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("near_doc"))
-    kept = docs.alias("d").join(stays, on)
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    once, often = kept.where("near_n = 1").select(*own), kept.where("near_n > 1")
-    return once.union(often.dropDuplicates(["near_t1", "near_t2", "near_doc"]).select(*own))
+    on = (F.xxhash64(text) == F.col("s.near_t1")) & (F.xxhash64(F.lit(7), text) == F.col("s.near_t2")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.near_doc"))
+    whole = F.struct(*[F.col(f"d.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    kept = docs.alias("d").join(stays.alias("s"), on).select(whole, "s.near_t1", "s.near_t2", "s.near_doc", "s.near_n")
+    once, often = kept.where("near_n = 1").select("row"), kept.where("near_n > 1")
+    return once.union(often.dropDuplicates(["near_t1", "near_t2", "near_doc"]).select("row")).select("row.*").toDF(*docs.columns)
