@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tidegrid_path = path  # for discard()
+    _MADE.append(out)
     return out
 
 
@@ -43,6 +45,14 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _MADE[:] = [x for x in _MADE if x is not df]
+
+
+def release(keep: DataFrame | None = None) -> None:
+    """Delete every table that materialize() has made so far but ``keep``: for use once a result has been written."""
+    for df in list(_MADE):
+        if df is not keep:
+            discard(df)
 
 
 def word_count(text: Column) -> Column:
