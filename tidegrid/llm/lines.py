@@ -2,7 +2,9 @@
 
 One occurrence of each group of linked lines stays. All of it is built-in expressions: a line's SimHash counts the bits
 of its words' hashes in the lanes of a few longs, candidates share one of three blocks of bits, and groups are connected
-components over line hashes. Texts are read a second time for the candidates alone.
+components over line hashes. Edits are counted in words: a line is kept as a string with one symbol for each word, which
+is what the check compares, so texts are read once and not shuffled for it. Two different words have the same symbol
+once in SYMBOLS times, which can only hide that edit.
 """
 
 from __future__ import annotations
@@ -12,11 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
+SYMBOLS = 222
 #: Blocks of the 64 bits: lines that differ in at most BLOCKS - 1 bits share one. Candidates further apart than RADIUS
-#: are let go; those left are linked at SIMILARITY, 1 - edits / length of the longer.
-BLOCKS, RADIUS, SIMILARITY = ((0, 21), (21, 21), (42, 22)), 12, 0.8
-#: A bucket of more lines is first compared with its smallest line; only what that doesn't link is compared all round.
-CROWD = 64
+#: are let go; those left are linked at SIMILARITY, 1 - edited words / words of the longer.
+BLOCKS, RADIUS, SIMILARITY = ((0, 21), (21, 21), (42, 22)), 8, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,55 +58,57 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "tkey", "pos", normalise(F.col("line")).alias("norm")).where("norm <> ''")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, norm) of the wanted lines, one row each."""
-    named = _lines(docs).select(F.xxhash64("norm").alias("id"), "norm")
-    return named.join(ids, "id", "left_semi").groupBy("id").agg(F.first("norm").alias("norm"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """Pairs (u, v) of line hashes whose lines are similar enough."""
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "line-ids")
-    texts = materialize(_texts(docs, ids), "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("norm").alias("a")), "u")
-    both = both.join(texts.select(F.col("id").alias("v"), F.col("norm").alias("b")), "v")
-    longest = F.greatest(F.length("a"), F.length("b"))
-    both = both.withColumn("most", F.floor(F.lit(round(1 - SIMILARITY, 9)) * longest + F.lit(1e-9)).cast("int"))
-    both = both.where(F.abs(F.length("a") - F.length("b")) <= F.col("most"))
+    both = pairs.join(codes.select(F.col("id").alias("u"), F.col("code").alias("a")), "u")
+    both = both.join(codes.select(F.col("id").alias("v"), F.col("code").alias("b")), "v")
+    both = both.withColumn("most", _edits(F.greatest(F.length("a"), F.length("b"))))
     return both.where(F.expr("levenshtein(a, b, most) >= 0")).select("u", "v")
 
 
-def fuzzy_links(docs: DataFrame, unique: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all similar lines among the distinct (id, sim) which share a block.
+def _near(x: str, y: str) -> Column:
+    """Whether two rows' fingerprints are near and their numbers of words could be similar."""
+    sims = F.bit_count(F.col(f"{x}sim").bitwiseXOR(F.col(f"{y}sim"))) <= RADIUS
+    a, b = F.col(f"{x}n"), F.col(f"{y}n")
+    return sims & (F.abs(a - b) <= _edits(F.greatest(a, b)))
 
-    In a bucket of up to CROWD lines all pairs within RADIUS are candidates. A larger one is first compared with its
-    smallest line only; lines verified there are connected already, so just pairs with an end that wasn't are left. A
-    family of thousands of variants thus gives a pair a line, and no link between different texts is lost.
-    """
+
+def _edits(words: Column) -> Column:
+    """The most edited words that SIMILARITY allows."""
+    return F.floor(F.lit(round(1 - SIMILARITY, 9)) * words + F.lit(1e-9)).cast("int")
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    """A row for each of a line's blocks of bits: (bucket, id, sim, n)."""
     bits = [F.lit(n << 32) + F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << size) - 1)) for n, (at, size) in enumerate(BLOCKS)]
-    keyed = unique.select(F.explode(F.array(*bits)).alias("bucket"), "id", "sim")
-    crowds = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "sim")).alias("head")).where(F.col("n") > CROWD)
-    crowds = materialize(crowds, "line-crowds")
-    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS
-    quiet = keyed.join(crowds, "bucket", "left_anti")
-    a, b = quiet.alias("a"), quiet.alias("b")
-    near = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") > F.col("b.id")) & apart(F.col("a.sim"), F.col("b.sim"))
-    few = a.join(b, near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-    crowded = materialize(keyed.join(crowds, "bucket"), "line-crowded")
-    heads = crowded.where((F.col("id") != F.col("head.id")) & apart(F.col("sim"), F.col("head.sim"))).select(F.col("id").alias("u"), F.col("head.id").alias("v"))
-    first = materialize(_verified(docs, materialize(few.union(heads).distinct(), "line-pairs")), "line-links")
-    return first.union(_rest(docs, crowded, first))
-
-
-def _rest(docs: DataFrame, crowded: DataFrame, first: DataFrame) -> DataFrame:
-    """Links in crowded buckets that involve a line which isn't verified with the bucket's smallest."""
-    known = first.select(F.col("u").alias("id"), F.col("v").alias("h"), F.lit(True).alias("known"))
-    marked = crowded.withColumn("h", F.col("head.id")).join(known, ["id", "h"], "left")
-    marked = materialize(marked.select("bucket", "id", "sim", (F.coalesce("known", F.lit(False)) | (F.col("id") == F.col("h"))).alias("known")), "line-marked")
-    a, b = marked.where("NOT known").alias("a"), marked.alias("b")
-    near = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id")) & (F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= RADIUS)
-    pairs = a.join(b, near).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
-    return _verified(docs, materialize(pairs, "line-pairs"))
+    return lines.select(F.explode(F.array(*bits)).alias("bucket"), "id", "sim", "n")
+
+
+def fuzzy_links(places: DataFrame, unique: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect all similar lines among the distinct (id, sim, n) which share a block; n is words.
+
+    First the lines that have any candidate at all, and their words' symbols. Then each bucket's lines are compared with its
+    smallest one, and what that links is joined to groups; only pairs of different groups are left to compare. A family
+    of thousands of variants thus costs about a comparison a line, and no connection between different texts is lost.
+    """
+    a, b = _keyed(unique).alias("a"), _keyed(unique).alias("b")
+    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id")) & _near("a.", "b.")
+    few = materialize(a.join(b, meet, "left_semi").select("id", "sim", "n").distinct(), "line-candidates")
+    codes = places.select("id", "code").join(few.select("id"), "id", "left_semi").groupBy("id").agg(F.first("code").alias("code"))
+    codes = materialize(codes, "line-codes")
+    keyed = materialize(_keyed(few), "line-keyed")
+    heads = keyed.groupBy("bucket").agg(F.min(F.struct("id", "sim", "n")).alias("head"))
+    heads = materialize(heads.select("bucket", F.col("head.id").alias("head"), F.col("head.sim").alias("head_sim"), F.col("head.n").alias("head_n")), "line-heads")
+    first = keyed.join(heads, "bucket").where((F.col("id") != F.col("head")) & _near("", "head_"))
+    first = first.select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
+    links = materialize(_verified(first, codes), "line-links")
+    groups = materialize(connected_components(links, "line-families"), "line-families")
+    told = keyed.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "sim", "n", F.coalesce("component", "id").alias("family"))
+    told = materialize(told, "line-told")
+    a, b = told.alias("a"), told.alias("b")
+    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family")) & _near("a.", "b.")
+    rest = a.join(b, meet).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    return links.union(_verified(materialize(rest.join(first, ["u", "v"], "left_anti"), "line-rest"), codes))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -118,44 +121,44 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = _lines(docs).withColumn("hashes", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    places = materialize(words.select("doc_id", "tkey", "pos", F.xxhash64("norm").alias("id"), simhash(F.col("hashes")).alias("sim")), "line-places")
+    symbol = lambda h: F.char(F.pmod(h, F.lit(SYMBOLS)) + 34)
+    code = F.array_join(F.transform("hashes", symbol), "")
+    places = words.select("doc_id", "tkey", "pos", F.xxhash64("norm").alias("id"), simhash(F.col("hashes")).alias("sim"), F.size("hashes").alias("n"), code.alias("code"))
+    places = materialize(places, "line-places")
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey", "pos")
-    unique = materialize(places.groupBy("id", "sim").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first")), "line-unique")
-    groups = materialize(connected_components(fuzzy_links(docs, unique), "line-groups"), "line-components")
+    unique = materialize(places.groupBy("id", "sim", "n").agg(F.count(F.lit(1)).alias("times"), F.min(own).alias("first")), "line-unique")
+    groups = materialize(connected_components(fuzzy_links(places, unique), "line-groups"), "line-components")
     inside = unique.join(groups.withColumnRenamed("node", "id"), "id")
     stays = inside.groupBy("component").agg(F.min("first").alias("stays"))
     linked = materialize(groups.join(stays, "component").select(F.col("node").alias("id"), "stays"), "line-stays")
-    alone = unique.where("n > 1").join(linked, "id", "left_anti").select("id", F.col("first").alias("stays"))
+    alone = unique.where("times > 1").join(linked, "id", "left_anti").select("id", F.col("first").alias("stays"))
     known = materialize(linked.union(alone), "line-known")
-    lost = places.join(known, "id").where(~own.eqNullSafe(F.col("stays")))
+    lost = places.drop("code", "sim", "n").join(known, "id").where(~own.eqNullSafe(F.col("stays")))
     return lost.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
-def _with_removed(docs: DataFrame) -> DataFrame:
-    removed = materialize(repeated_lines(docs), "line-removed").select(F.col("doc_id").alias("line_doc"), F.col("tkey").alias("line_text"), F.col("removed").alias("line_gone"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("line_doc")) & (F.xxhash64("text") == F.col("line_text"))
-    return docs.join(removed, same, "left")
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text`` (and n_chars counted anew, where there is such a column).
 
     One row for each input row, same columns; a document may be left with empty text.
     """
-    gone = F.coalesce("line_gone", F.array().cast("array<int>"))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains(gone, k))
-    text = F.when(F.col("line_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = _with_removed(docs).withColumn("text", text)
+    gone = materialize(repeated_lines(docs), "line-removed").toDF("line_doc", "line_text", "line_gone")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("line_doc")) & (F.xxhash64("d.text") == F.col("line_text"))
+    kept = F.filter(F.split("d.text", "\n", -1), lambda _, k: ~F.array_contains(F.col("line_gone"), k))
+    text = F.when(F.col("line_gone").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
+    own = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.lit(0)))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return docs.alias("d").join(gone, same, "left").select(*[x.alias(c) for c, x in own.items()])
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_lines, n_kept, removed (places from 0, joined by commas)."""
-    slim = docs.select("doc_id", "text")
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))), F.lit(0)).cast("long")
+    slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), n.alias("n_lines")), "line-docs")
+    gone = materialize(repeated_lines(docs), "line-removed").toDF("line_doc", "line_text", "line_gone")
+    same = F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.col("tkey") == F.col("line_text"))
     lost = F.coalesce(F.when(F.col("line_gone").isNotNull(), F.size("line_gone")), F.lit(0))
-    return _with_removed(slim).select(
-        "doc_id", n.alias("n_lines"), (n - lost).alias("n_kept"), F.coalesce(F.array_join("line_gone", ","), F.lit("")).alias("removed")
+    return slim.join(gone, same, "left").select(
+        "doc_id", "n_lines", (F.col("n_lines") - lost).alias("n_kept"), F.coalesce(F.array_join("line_gone", ","), F.lit("")).alias("removed")
     )
