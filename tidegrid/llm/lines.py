@@ -18,6 +18,8 @@ SYMBOLS = 222
 #: Blocks of the 64 bits: lines that differ in at most BLOCKS - 1 bits share one. Candidates further apart than RADIUS
 #: are let go; those left are linked at SIMILARITY, 1 - edited words / words of the longer.
 BLOCKS, RADIUS, SIMILARITY = ((0, 21), (21, 21), (42, 22)), 8, 0.8
+#: Rounds of comparison with one line a bucket, before the pairs that are left.
+PIVOTS = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,36 +81,43 @@ def _edits(words: Column) -> Column:
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
-    """A row for each of a line's blocks of bits: (bucket, id, sim, n)."""
+    """A row for each of a line's blocks of bits: (bucket, id, sim, n, times)."""
     bits = [F.lit(n << 32) + F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << size) - 1)) for n, (at, size) in enumerate(BLOCKS)]
-    return lines.select(F.explode(F.array(*bits)).alias("bucket"), "id", "sim", "n")
+    return lines.select(F.explode(F.array(*bits)).alias("bucket"), "id", "sim", "n", F.col("times").cast("int").alias("times"))
 
 
 def fuzzy_links(places: DataFrame, unique: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all similar lines among the distinct (id, sim, n) which share a block; n is words.
+    """Edges (u, v) that connect all similar lines among the distinct (id, sim, n, times) which share a block; n is
+    words, times is occurrences.
 
-    First the lines that have any candidate at all, and their words' symbols. Then each bucket's lines are compared with its
-    smallest one, and what that links is joined to groups; only pairs of different groups are left to compare. A family
-    of thousands of variants thus costs about a comparison a line, and no connection between different texts is lost.
+    First the lines that have any candidate at all, and their words' symbols. Then, PIVOTS times, each bucket's lines
+    are compared with one of them, the most frequent, which variants are most likely made from; what that links is
+    joined to groups, and the next one comes from another group. Only pairs of different groups are left to compare at
+    the end. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
     """
     a, b = _keyed(unique).alias("a"), _keyed(unique).alias("b")
     meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id")) & _near("a.", "b.")
-    few = materialize(a.join(b, meet, "left_semi").select("id", "sim", "n").distinct(), "line-candidates")
+    few = materialize(a.join(b, meet, "left_semi").select("id", "sim", "n", "times").distinct(), "line-candidates")
     codes = places.select("id", "code").join(few.select("id"), "id", "left_semi").groupBy("id").agg(F.first("code").alias("code"))
     codes = materialize(codes, "line-codes")
-    keyed = materialize(_keyed(few), "line-keyed")
-    heads = keyed.groupBy("bucket").agg(F.min(F.struct("id", "sim", "n")).alias("head"))
-    heads = materialize(heads.select("bucket", F.col("head.id").alias("head"), F.col("head.sim").alias("head_sim"), F.col("head.n").alias("head_n")), "line-heads")
-    first = keyed.join(heads, "bucket").where((F.col("id") != F.col("head")) & _near("", "head_"))
-    first = first.select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    links = materialize(_verified(first, codes), "line-links")
-    groups = materialize(connected_components(links, "line-families"), "line-families")
-    told = keyed.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "sim", "n", F.coalesce("component", "id").alias("family"))
-    told = materialize(told, "line-told")
+    told = materialize(_keyed(few).withColumn("family", F.col("id")), "line-told")
+    links, left = None, told
+    for _ in range(PIVOTS):
+        heads = left.groupBy("bucket").agg(F.max(F.struct("times", "id", "sim", "n", "family")).alias("head"))
+        heads = materialize(heads.select("bucket", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("id", "sim", "n", "family")]), "line-heads")
+        pairs = told.join(heads, "bucket").where((F.col("family") != F.col("head_family")) & _near("", "head_"))
+        pairs = pairs.select(F.col("id").alias("u"), F.col("head_id").alias("v")).distinct()
+        found = materialize(_verified(pairs, codes), "line-links")
+        links = found if links is None else links.union(found)
+        groups = materialize(connected_components(links, "line-families").withColumnRenamed("node", "id"), "line-families")
+        told = told.drop("family").join(groups, "id", "left").withColumn("family", F.coalesce("component", "id")).drop("component")
+        told = materialize(told, "line-told")
+        used = heads.select(F.col("bucket"), F.col("head_id").alias("id")).join(told, ["bucket", "id"]).select("bucket", F.col("family").alias("used"))
+        left = materialize(told.join(used, "bucket", "left").where("used IS NULL OR family <> used").drop("used"), "line-left")
     a, b = told.alias("a"), told.alias("b")
     meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family")) & _near("a.", "b.")
-    rest = a.join(b, meet).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    return links.union(_verified(materialize(rest.join(first, ["u", "v"], "left_anti"), "line-rest"), codes))
+    rest = materialize(a.join(b, meet).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "line-rest")
+    return links.union(_verified(rest, codes))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -143,13 +152,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     One row for each input row, same columns; a document may be left with empty text.
     """
     gone = materialize(repeated_lines(docs), "line-removed").toDF("line_doc", "line_text", "line_gone")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("line_doc")) & (F.xxhash64("d.text") == F.col("line_text"))
-    kept = F.filter(F.split("d.text", "\n", -1), lambda _, k: ~F.array_contains(F.col("line_gone"), k))
-    text = F.when(F.col("line_gone").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.line_doc")) & (F.xxhash64("d.text") == F.col("g.line_text"))
+    lost = F.col("g.line_gone")
+    kept = F.filter(F.split("d.text", "\n", -1), lambda _, k: ~F.array_contains(lost, k))
+    text = F.when(lost.isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
     own = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
-    return docs.alias("d").join(gone, same, "left").select(*[x.alias(c) for c, x in own.items()])
+    return docs.alias("d").join(gone.alias("g"), same, "left").select(*[x.alias(c) for c, x in own.items()])
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
