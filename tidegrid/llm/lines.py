@@ -21,11 +21,15 @@ BLOCKS, RADIUS, SIMILARITY = ((0, 21), (21, 21), (42, 22)), 8, 0.8
 #: Rounds of comparison with one line a bucket, before the pairs that are left.
 PIVOTS = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MARKS = "".join(map(chr, [*range(32), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
 def normalise(line: Column) -> Column:
-    """A-Z lower-cased; white space and ASCII punctuation are one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), r"[\x00-\x20!-/:-@\[-`{-~]+", " "))
+    """A-Z lower-cased; control characters, white space and ASCII punctuation are one space, none at the ends.
+
+    One translation, so that the pattern only meets runs of spaces: most lines have few.
+    """
+    return F.trim(F.regexp_replace(F.translate(line, _UPPER + _MARKS, _LOWER + " " * len(_MARKS)), " {2,}", " "))
 
 
 def _lanes(hashes: Column, width: int) -> Column:
