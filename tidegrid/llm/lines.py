@@ -39,6 +39,7 @@ def _lanes(hashes: Column, width: int) -> Column:
     the majority there.
     """
     ones = sum(1 << k for k in range(0, 64, width))
+
     def count(k: int) -> Column:
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones)))
 
