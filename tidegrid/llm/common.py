@@ -48,11 +48,10 @@ def discard(df: DataFrame) -> None:
         _MADE[:] = [x for x in _MADE if x is not df]
 
 
-def release(keep: DataFrame | None = None) -> None:
-    """Delete every table that materialize() has made so far but ``keep``: for use once a result has been written."""
-    for df in list(_MADE):
-        if df is not keep:
-            discard(df)
+
+def made() -> list[DataFrame]:
+    """The tables that materialize() has made and discard() hasn't deleted, oldest first."""
+    return list(_MADE)
 
 
 def word_count(text: Column) -> Column:
