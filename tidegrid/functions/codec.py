@@ -1,7 +1,7 @@
 """Keys that carry time: UUIDv7 and declared text ids, to and from native microseconds.
 
-Numbers wider than a long are folded as little-endian limbs of 32 bits, so a 160-bit id is exact. Every decode checks
-the declared shape first: ``refuse=True`` raises on a bad value, otherwise it is null.
+Digits are taken in chunks that fit 54 bits. Numbers wider than a long are sums of chunk halves times constant limbs of 32
+bits, so a 160-bit id is exact in plain arithmetic that Spark compiles. Every decode checks the declared shape first: ``refuse=True`` raises on a bad value, otherwise it is null.
 """
 
 from __future__ import annotations
@@ -34,15 +34,17 @@ class TextTime:
             raise ValueError("the alphabet has fewer digits than the radix")
         if list(self.alphabet) != sorted(set(self.alphabet)):
             raise ValueError("the alphabet's digits must ascend, so that ids sort by time")
+        if (self.radix**self.width - 1 >> self.discard_bits).bit_length() > 62:
+            raise ValueError("the part that carries time is wider than 62 bits")
 
     @property
     def digits(self) -> str:
         return self.alphabet[: self.radix]
 
     @property
-    def limbs(self) -> int:
-        bits = (self.radix**self.width - 1).bit_length()
-        return max(2, -(-bits // 32))
+    def chunk(self) -> int:
+        """The most digits that stay under 54 bits."""
+        return max(k for k in range(1, 55) if self.radix**k < 1 << 54)
 
 
 CUID = TextTime("c", 8, 36, 1000)
@@ -77,26 +79,24 @@ def radix_encode(value: Column, radix: int, width: int, alphabet: str = BASE36)
 
 def text_time_decode(value: Column, spec: TextTime, refuse: bool = False) -> Column:
     """Microseconds of a text id. The digits are folded into limbs; the low bits are dropped; null if it isn't shaped."""
-    body = F.substring(value, len(spec.prefix) + 1, spec.width)
-    zero = F.array(*[F.lit(0).cast("long")] * spec.limbs)
-
-    def step(acc: Column, char: Column) -> Column:
-        carry = F.struct(_digit_of(char, spec.digits).alias("carry"), F.array().cast("array<long>").alias("limbs"))
-
-        def put(state: Column, limb: Column) -> Column:
-            total = limb * spec.radix + state["carry"]
-            low = total.bitwiseAND(F.lit((1 << 32) - 1))
-            return F.struct(F.shiftrightunsigned(total, 32).alias("carry"), F.concat(state["limbs"], F.array(low)).alias("limbs"))
-
-        return F.aggregate(acc, carry, put)["limbs"]
-
-    limbs = F.aggregate(F.split(body, ""), zero, step)
+    limbs: dict[int, Column] = {}
+    for low in range(0, spec.width, spec.chunk):  # from the last digit on
+        n = min(spec.chunk, spec.width - low)
+        number = F.lit(0).cast("long")
+        for k in range(n):
+            place = len(spec.prefix) + spec.width - low - k
+            number = number + _digit_of(F.substring(value, place, 1), spec.digits) * spec.radix**k
+        for half, scale in ((number.bitwiseAND(F.lit((1 << 27) - 1)), spec.radix**low), (F.shiftright(number, 27), spec.radix**low << 27)):
+            for at in range(-(-scale.bit_length() // 32)):
+                part = half * (scale >> 32 * at & (1 << 32) - 1)
+                limbs[at] = limbs[at] + part if at in limbs else part
     skip, rest = divmod(spec.discard_bits, 32)
-    units = F.lit(0).cast("long")
-    for k in range(skip, min(spec.limbs, skip + 3)):
-        shift = 32 * (k - skip) - rest
-        limb = F.element_at(limbs, k + 1)
-        units = units + (F.shiftleft(limb, shift) if shift >= 0 else F.shiftrightunsigned(limb, -shift)) if shift < 63 else units
+    carry = F.lit(0).cast("long")
+    for at in range(skip):
+        carry = F.shiftright(limbs.get(at, F.lit(0).cast("long")) + carry, 32)
+    for at in sorted(k for k in limbs if skip <= k < skip + 2):
+        carry = carry + F.shiftleft(limbs[at], 32 * (at - skip))
+    units = F.shiftright(carry, rest)
     native = units * spec.unit_us + spec.epoch_us
     wrong = F.raise_error(F.concat(F.lit("not of the declared shape: "), F.coalesce(value, F.lit("null")))) if refuse else F.lit(None).cast("long")
     return F.when(shaped(value, spec), native).otherwise(wrong)
@@ -108,31 +108,14 @@ def text_time_encode(native: Column, spec: TextTime) -> Column:
     limit = spec.radix**spec.width >> spec.discard_bits
     if not spec.discard_bits:
         return F.when(units < min(limit, (1 << 63) - 1), F.concat(F.lit(spec.prefix), radix_encode(units, spec.radix, spec.width, spec.alphabet)))
-    # long division of the limbs, highest first, once for each digit
-    skip, rest = divmod(spec.discard_bits, 32)
-    parts = []
-    for k in range(spec.limbs - 1, -1, -1):
-        at = 32 * (k - skip) - rest
-        if at >= 63 or at <= -32:
-            limb = F.lit(0).cast("long")
-        else:
-            limb = (F.shiftrightunsigned(units, at) if at >= 0 else F.shiftleft(units, -at)).bitwiseAND(F.lit((1 << 32) - 1))
-        parts.append(limb)
-    start = F.struct(F.array(*parts).alias("limbs"), F.lit("").alias("text"))
-
-    def divide(state: Column, _: Column) -> Column:
-        begin = F.struct(F.lit(0).cast("long").alias("rest"), F.array().cast("array<long>").alias("limbs"))
-
-        def put(acc: Column, limb: Column) -> Column:
-            total = F.shiftleft(acc["rest"], 32) + limb
-            return F.struct(F.pmod(total, F.lit(spec.radix)).alias("rest"), F.concat(acc["limbs"], F.array(F.call_function("div", total, F.lit(spec.radix)))).alias("limbs"))
-
-        done = F.aggregate(state["limbs"], begin, put)
-        digit = F.substring(F.lit(spec.alphabet), (done["rest"] + 1).cast("int"), F.lit(1))
-        return F.struct(done["limbs"].alias("limbs"), F.concat(digit, state["text"]).alias("text"))
-
-    text = F.aggregate(F.sequence(F.lit(1), F.lit(spec.width)), start, divide)["text"]
-    return F.when((units >= 0) & (units < min(limit, (1 << 62))), F.concat(F.lit(spec.prefix), text))
+    # units times 2 ** discard_bits, chunk by chunk from the last digits on
+    base, scale, carry, parts = spec.radix**spec.chunk, 1 << spec.discard_bits, F.lit(0).cast("decimal(20,0)"), []
+    for low in range(0, spec.width, spec.chunk):
+        total = units.cast("decimal(19,0)") * F.lit(str(scale % base)).cast("decimal(18,0)") + carry
+        parts.append(radix_encode(F.pmod(total, F.lit(base).cast("decimal(20,0)")).cast("long"), spec.radix, min(spec.chunk, spec.width - low), spec.alphabet))
+        carry = F.call_function("div", total, F.lit(base).cast("decimal(20,0)")).cast("decimal(20,0)")
+        scale //= base
+    return F.when((units >= 0) & (units < min(limit, 1 << 62)), F.concat(F.lit(spec.prefix), *reversed(parts)))
 
 
 # --- UUIDv7 ---
