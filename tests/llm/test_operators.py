@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -295,3 +296,37 @@ def test_lines(docs, spark):
     words = [f"word{k}" for k in range(60)]
     far = [(1, " ".join(words)), (2, " ".join(words[:20] + ["other"] + words[21:])), (3, " ".join(f"x{k}" for k in range(60)))]
     assert {r.doc_id: r.n_kept for r in lines.line_digest(spark.createDataFrame(far, "doc_id long, text string")).collect()} in ({1: 1, 2: 0, 3: 1}, {1: 1, 2: 1, 3: 1})
+
+
+def test_lines_find_all_similar(spark):
+    """All pairs of 4 to 70 words with a word-level similarity of 0.8 or more, by brute force, are in one group."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    made = []
+    for n in [*range(4, 31), 45, 60, 70]:
+        base = [words[int(300 * rng.random() ** 3)] for _ in range(n)]
+        made.append(base)
+        for edits in {1, n // 5}:
+            line = list(base)
+            for k in rng.sample(range(n), edits):
+                line[k] = f"new{rng.randrange(10**9)}"
+            made.append(line)
+        made.append([*base[: n // 2], "put", *base[n // 2 :]])
+        made.append(base[1:])
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    near = [(i, j) for i, a in enumerate(made) for j, b in enumerate(made[:i]) if 5 * distance(a, b) <= max(len(a), len(b))]
+    group = list(range(len(made)))
+    for i, j in near:
+        old, new = group[i], group[j]
+        group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame([(k, " ".join(m)) for k, m in enumerate(made)], "doc_id long, text string")
+    kept = sum(r.n_kept for r in lines.line_digest(docs).collect())
+    assert len(near) > 60 and kept <= len(set(group))  # words with equal symbols may link more

@@ -1,10 +1,10 @@
-"""Line dedup: SimHash of normalised lines, joined on pigeonhole blocks, checked by edit similarity.
+"""Line dedup: normalised lines that share one of their rarest word pairs, checked by edit similarity.
 
-One occurrence of each group of linked lines stays. All of it is built-in expressions: a line's SimHash counts the bits
-of its words' hashes in the lanes of a few longs, candidates share one of three blocks of bits, and groups are connected
-components over line hashes. Edits are counted in words: a line is kept as a string with one symbol for each word, which
-is what the check compares, so texts are read once and not shuffled for it. Two different words have the same symbol
-once in SYMBOLS times, which can only hide that edit.
+One occurrence of each group of linked lines stays. All of it is built-in expressions: lines within SIMILARITY have so
+many pairs of neighbouring words in common that they share one of a few rarest ones (prefix filter), so every similar
+pair is a candidate, and groups are connected components over line hashes. Edits are counted in words: a line is kept
+as a string with one symbol for each word, which is what the check compares, so texts are read once and not shuffled for
+it. Two different words have the same symbol once in SYMBOLS times, which can only hide that edit.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 
 SYMBOLS = 222
-#: Blocks of the 64 bits: lines that differ in at most BLOCKS - 1 bits share one. Candidates further apart than RADIUS
-#: are let go; those left are linked at SIMILARITY, 1 - edited words / words of the longer.
-BLOCKS, RADIUS, SIMILARITY = ((0, 21), (21, 21), (42, 22)), 8, 0.8
+#: Lines are linked at SIMILARITY, 1 - edited words / words of the longer.
+SIMILARITY = 0.8
+#: Words are ranked by their frequency in one of SAMPLE texts, counted in RANKS hashes. Ranks only order the word pairs:
+#: any ranking finds the same links, a good one with fewer comparisons.
+RANKS, SAMPLE = 1 << 16, 16
 #: Rounds of comparison with one line a bucket, before the pairs that are left.
 PIVOTS = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,10 +76,16 @@ def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def _near(x: str, y: str) -> Column:
-    """Whether two rows' fingerprints are near and their numbers of words could be similar."""
-    sims = F.bit_count(F.col(f"{x}sim").bitwiseXOR(F.col(f"{y}sim"))) <= RADIUS
+    """Whether two rows could be similar by their numbers of words and the parities of their words' bits.
+
+    An edited word changes two bits of a parity at most, so no similar pair is let go.
+    """
     a, b = F.col(f"{x}n"), F.col(f"{y}n")
-    return sims & (F.abs(a - b) <= _edits(F.greatest(a, b)))
+    most = _edits(F.greatest(a, b))
+    out = F.abs(a - b) <= most
+    for c in ("even", "odd"):
+        out &= F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) <= 2 * most
+    return out
 
 
 def _edits(words: Column) -> Column:
@@ -85,31 +93,62 @@ def _edits(words: Column) -> Column:
     return F.floor(F.lit(round(1 - SIMILARITY, 9)) * words + F.lit(1e-9)).cast("int")
 
 
-def _keyed(lines: DataFrame) -> DataFrame:
-    """A row for each of a line's blocks of bits: (bucket, id, sim, n, times)."""
-    bits = [F.lit(n << 32) + F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << size) - 1)) for n, (at, size) in enumerate(BLOCKS)]
-    return lines.select(F.explode(F.array(*bits)).alias("bucket"), "id", "sim", "n", F.col("times").cast("int").alias("times"))
+def _parity(hashes: Column, at: int) -> Column:
+    """A bit is 1 if an odd number of hashes have its number in their six bits from ``at``."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+
+
+def _ranks(docs: DataFrame) -> Column:
+    """A literal with a byte, 32 + the bit length of the count, for each of RANKS hashes of words."""
+    words = _lines(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).select(F.explode(F.split("norm", " ")).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RANKS)).cast("int").alias("k")).count()
+    table = bytearray(b" " * RANKS)
+    for k, n in counts.toLocalIterator():
+        table[k] = 32 + n.bit_length()
+    return F.lit(bytes(table))
+
+
+def _rare_pairs(hashes: Column, ranks: Column) -> Column:
+    """The keys of a line's rarest pairs of neighbouring words, of which any two similar lines have one in common.
+
+    An edit takes two pairs at most. Lines of n and m >= n words with d = _edits(m) edits thus have m - 1 - 2 d pairs in
+    common or more, which is least at m = n or at the next multiple of five, where _edits grows. All but so many of a
+    line's n - 1 pairs, and one more, are enough if all lines order pairs alike, by rank and then hash. Under four words
+    a similar line is an equal one.
+    """
+    n = F.size(hashes)
+    d = _edits(n)
+    ranked = F.transform(hashes, lambda h: F.ascii(F.substring(ranks, F.pmod(h, F.lit(RANKS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"))
+    both = F.arrays_zip(hashes.alias("h"), ranked.alias("r"))
+    ahead = F.slice(both, F.lit(2), F.greatest(n - 1, F.lit(0)))
+    key = lambda a, b: F.shiftleft(a["r"] + b["r"], 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a["h"], b["h"]), 24))
+    pairs = F.zip_with(F.slice(both, F.lit(1), F.greatest(n - 1, F.lit(0))), ahead, key)
+    rarest = F.slice(F.sort_array(pairs), F.lit(1), F.greatest(2 * d, n - 3 * d - 3) + 1)
+    return F.when(n >= 4, F.array_distinct(rarest)).otherwise(F.array().cast("array<long>"))
 
 
 def fuzzy_links(places: DataFrame, unique: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all similar lines among the distinct (id, sim, n, times) which share a block; n is
-    words, times is occurrences.
+    """Edges (u, v) that connect all similar lines among the distinct (id, n, even, odd, keys, times); n is words, keys
+    are the buckets, times is occurrences.
 
-    First the lines that have any candidate at all, and their words' symbols. Then, PIVOTS times, each bucket's lines
-    are compared with one of them, the most frequent, which variants are most likely made from; what that links is
-    joined to groups, and the next one comes from another group. Only pairs of different groups are left to compare at
-    the end. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
+    First the buckets' lines that have any candidate there at all, and their words' symbols. Then, PIVOTS times, each
+    bucket's lines are compared with one of them, the most frequent, which variants are most likely made from; what that
+    links is joined to groups, and the next one comes from another group. Only pairs of different groups are left to
+    compare at the end. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
     """
-    a, b = _keyed(unique).alias("a"), _keyed(unique).alias("b")
-    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id")) & _near("a.", "b.")
-    few = materialize(a.join(b, meet, "left_semi").select("id", "sim", "n", "times").distinct(), "line-candidates")
-    codes = places.select("id", "code").join(few.select("id"), "id", "left_semi").groupBy("id").agg(F.first("code").alias("code"))
+    keyed = unique.select(F.explode("keys").alias("bucket"), "id")
+    other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id"))
+    shared = materialize(keyed.alias("a").join(keyed.alias("b"), other, "left_semi"), "line-shared")
+    met = materialize(shared.join(unique.select("id", "n", "even", "odd", F.col("times").cast("int").alias("times")), "id"), "line-met")
+    told = met.alias("a").join(met.alias("b"), other & _near("a.", "b."), "left_semi")
+    told = materialize(told.select("bucket", "id", "n", "even", "odd", "times", F.col("id").alias("family")), "line-told")
+    codes = places.select("id", "code").join(told.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("code").alias("code"))
     codes = materialize(codes, "line-codes")
-    told = materialize(_keyed(few).withColumn("family", F.col("id")), "line-told")
     links, left = None, told
     for _ in range(PIVOTS):
-        heads = left.groupBy("bucket").agg(F.max(F.struct("times", "id", "sim", "n", "family")).alias("head"))
-        heads = materialize(heads.select("bucket", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("id", "sim", "n", "family")]), "line-heads")
+        heads = left.groupBy("bucket").agg(F.max(F.struct("times", "id", "n", "even", "odd", "family")).alias("head"))
+        heads = materialize(heads.select("bucket", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("id", "n", "even", "odd", "family")]), "line-heads")
         pairs = told.join(heads, "bucket").where((F.col("family") != F.col("head_family")) & _near("", "head_"))
         pairs = pairs.select(F.col("id").alias("u"), F.col("head_id").alias("v")).distinct()
         found = materialize(_verified(pairs, codes), "line-links")
@@ -137,17 +176,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     words = _lines(docs).withColumn("hashes", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
     symbol = lambda h: F.char(F.pmod(h, F.lit(SYMBOLS)) + 34)
     code = F.array_join(F.transform("hashes", symbol), "")
-    places = words.select("doc_id", "tkey", "pos", F.xxhash64("norm").alias("id"), simhash(F.col("hashes")).alias("sim"), F.size("hashes").alias("n"), code.alias("code"))
+    hashes = F.col("hashes")
+    places = words.select(
+        "doc_id", "tkey", "pos", F.xxhash64("norm").alias("id"), F.size(hashes).alias("n"), code.alias("code"),
+        _parity(hashes, 0).alias("even"), _parity(hashes, 6).alias("odd"), _rare_pairs(hashes, _ranks(docs)).alias("keys"),
+    )
     places = materialize(places, "line-places")
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey", "pos")
-    unique = materialize(places.groupBy("id", "sim", "n").agg(F.count(F.lit(1)).alias("times"), F.min(own).alias("first")), "line-unique")
+    same = [F.first(c).alias(c) for c in ("n", "even", "odd", "keys")]
+    unique = materialize(places.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.min(own).alias("first"), *same), "line-unique")
     groups = materialize(connected_components(fuzzy_links(places, unique), "line-groups"), "line-components")
     inside = unique.join(groups.withColumnRenamed("node", "id"), "id")
     stays = inside.groupBy("component").agg(F.min("first").alias("stays"))
     linked = materialize(groups.join(stays, "component").select(F.col("node").alias("id"), "stays"), "line-stays")
     alone = unique.where("times > 1").join(linked, "id", "left_anti").select("id", F.col("first").alias("stays"))
     known = materialize(linked.union(alone), "line-known")
-    lost = places.drop("code", "sim", "n").join(known, "id").where(~own.eqNullSafe(F.col("stays")))
+    lost = places.select("doc_id", "tkey", "pos", "id").join(known, "id").where(~own.eqNullSafe(F.col("stays")))
     return lost.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
