@@ -93,6 +93,20 @@ def test_pii_learns_contexts(spark):
     assert got[100] == "context:16:25" and got[101] == ""
 
 
+def test_pii_learns_from_texts_without_digits(spark):
+    rows = [(k, f"please write to user{chr(97 + k)}@example.com soon") for k in range(20)] + [(100, "please write to user-0077 soon")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "context:16:25"
+
+
+def test_pii_learns_from_discovered_instances(spark):
+    rows = [(k, f"please write to user{k}@example.com soon") for k in range(20)]
+    rows += [(100 + k, f"please write to user-{7000 + k} soon. The badge of user-{7000 + k} expired") for k in range(8)]
+    rows += [(200, "the badge of user-8888 expired")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == "context:13:22"
+
+
 def test_matroska(docs):
     for n in (0, 1, 64, 1000, 1024, 5000, 70_000, 300_000):
         payload = matroska.padded("x" * n)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone", "context")
-#: A pattern needs this many different seeds, and this share of believed instances; an instance this much belief.
+#: A pattern needs this many different seeds or confidently believed instances, and this share of believed instances; an instance this much belief.
 MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE, ROUNDS = 5, 0.8, 0.8, 3
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -146,7 +146,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(k, 512)
             texts = part.column(2).to_pylist()
             base = [base_spans(t or "") for t in texts]
-            own = [mentions(t, s) if t and _DIGIT.search(t) else [] for t, s in zip(texts, base)]
+            own = [mentions(t, s) if t and (s or _DIGIT.search(t)) else [] for t, s in zip(texts, base)]
             digest = [hashlib.sha256(",".join(f"{KINDS[q]}:{a}:{b}" for a, q, b in s).encode()).hexdigest() for s in base]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -175,9 +175,9 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             held = edges.join(belief, "value", "left").select(
                 "pattern", "value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))).alias("belief"), "seed"
             )
-        scored = held.groupBy("pattern").agg(F.sum("belief").alias("sum"), F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
+        scored = held.groupBy("pattern").agg(F.sum("belief").alias("sum"), F.count(F.lit(1)).alias("n"), F.sum((F.col("belief") >= MIN_INSTANCE).cast("long")).alias("known"))
         good = materialize(
-            scored.where((F.col("seeds") >= MIN_SEEDS) & (F.col("sum") / F.col("n") >= (MIN_PATTERN if k else MIN_PATTERN / 2)))
+            scored.where((F.col("known") >= MIN_SEEDS) & (F.col("sum") / F.col("n") >= (MIN_PATTERN if k else MIN_PATTERN / 2)))
             .select("pattern", F.least(F.col("sum") / F.col("n"), F.lit(0.999)).alias("score")),
             "pii-patterns",
         )
