@@ -71,6 +71,18 @@ def brute_spans(text):
     return sorted(out)
 
 
+def test_licenses_know_every_sentence_and_rule(spark):
+    texts = [(k, [v]) for k, v in [*licenses.SENTENCES.items(), *licenses.LAYOUTS.items()]]
+    first = {v: k for k, v in reversed(licenses.SENTENCES.items())}
+    texts += [("\n".join(first[x] for x in rule), list(rule)) for rule, _ in licenses.RULES if "apache-2-copy" not in rule]
+    rows = spark.createDataFrame([(k, f"Before.\n{t}\n\nAfter.") for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan_licenses(rows).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: ids for k, (_, ids) in enumerate(texts)}
+    assert {name for _, name in licenses.RULES} == {x for _, names in got.values() for x in names}
+    apart = [(1, "This program is free software: we hope so. " + first["gpl-3-or-later"].split(": ")[1]), (2, "Version 2.0.\n\n2.0.")]
+    assert all(not r.sentence_ids for r in licenses.scan_licenses(spark.createDataFrame(apart, "doc_id long, text string")).collect())
+
+
 def test_pii_base(docs):
     rng = np.random.default_rng(5)
     for _ in range(3000):

@@ -7,6 +7,8 @@ expressions on the row itself: no shuffle, one pass, the tables are literals of
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ SENTENCES: dict[str, str] = {
     "This is free and unencumbered software released into the public domain.": "unlicense-notice",
 }
 
+# Other layouts of sentences above, as their notices are printed.
+LAYOUTS: dict[str, str] = {
+    "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0": "apache-2-copy",
+}
+
 # Rules in order of trial, the sentence sequence and the licence it stands for.
 RULES: list[tuple[tuple[str, ...], str]] = [
     (("apache-2-notice", "apache-2-compliance", "apache-2-copy", "apache-2-as-is", "apache-2-see"), "Apache-2.0"),
@@ -91,14 +98,23 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     empty arrays; repeated rows give repeated rows; other columns are ignored; an empty table gives no rows. Texts of
     any length are read whole. Lines that aren't near the length of a known sentence are not normalised at all.
     """
-    table = {plain(k): v for k, v in sentences.items()}
+    table, joined = {plain(k): v for k, v in sentences.items()}, {}
+    for k, v in [*sentences.items(), *((k, v) for k, v in LAYOUTS.items() if v in sentences.values())]:
+        pieces = [plain(x) for x in re.split(SENTENCE_END, k)]
+        if len(pieces) > 1:  # a table sentence that SENTENCE_END cuts: its pieces, one after the other, are put together
+            joined["".join(f"<{table.setdefault(x, f'#{len(table)}')}>" for x in pieces)] = v
     known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]).cast("map<string,string>")
     shortest = min(len(k) for k in table)
     find = lambda s: F.when(F.length(s) >= shortest, F.element_at(known, normalise(s)))
     lines = lambda s: F.transform(F.split(s, "\n"), find)
     one = lambda s: F.when(F.instr(s, "\n") == 0, F.array(find(s))).otherwise(F.coalesce(F.when(find(s).isNotNull(), F.array(find(s))), lines(s)))
-    found = F.filter(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), SENTENCE_END), one)), lambda x: x.isNotNull())
-    ids = docs.select("doc_id", found.alias("sentence_ids"))
+    pieces = docs.select("doc_id", F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), SENTENCE_END), one)).alias("pieces"))
+    whole = F.array_join(F.transform("pieces", lambda x: F.coalesce(F.concat(F.lit("<"), x, F.lit(">")), F.lit("|"))), "")
+    for sequence, name in joined.items():
+        whole = F.replace(whole, F.lit(sequence), F.lit(f"<{name}>"))
+    cut = F.exists("pieces", lambda x: F.coalesce(x.startswith("#"), F.lit(False)))
+    found = F.when(cut, F.regexp_extract_all(whole, F.lit("<([^#>][^>]*)>"), 1)).otherwise(F.filter("pieces", lambda x: x.isNotNull()))
+    ids = pieces.select("doc_id", found.alias("sentence_ids"))
     # a chain: each identifier as <id>; a rule turns its sequence into [licence]
     chain = F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     for sequence, name in rules:
