@@ -312,7 +312,7 @@ def test_lines(docs, spark):
     got = {}
     for r in lines.line_digest(docs).collect():
         got.setdefault(r.doc_id, []).append(r)
-    assert [r.n_kept for r in got[1]] == [100] and {r.n_kept for r in got[2]} == {0} and got[3][0].n_kept <= 1  # the changed line may be near enough
+    assert [r.n_kept for r in got[1]] == [100] and {r.n_kept for r in got[2]} == {0} and got[3][0].n_kept == 0
     assert got[11][0].removed == "1" and got[5][0].n_lines == 0 and got[4][0].n_kept == 1 and got[8][0].n_kept == 2
     out = lines.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -321,15 +321,28 @@ def test_lines(docs, spark):
     assert lines.line_digest(docs.limit(0)).count() == 0
     words = [f"word{k}" for k in range(60)]
     far = [(1, " ".join(words)), (2, " ".join(words[:20] + ["other"] + words[21:])), (3, " ".join(f"x{k}" for k in range(60)))]
-    assert {r.doc_id: r.n_kept for r in lines.line_digest(spark.createDataFrame(far, "doc_id long, text string")).collect()} in ({1: 1, 2: 0, 3: 1}, {1: 1, 2: 1, 3: 1})
+    assert {r.doc_id: r.n_kept for r in lines.line_digest(spark.createDataFrame(far, "doc_id long, text string")).collect()} == {1: 1, 2: 0, 3: 1}
 
 
-def test_lines_find_all_similar(spark):
-    """All pairs of 4 to 70 words with a word-level similarity of 0.8 or more, by brute force, are in one group."""
+def test_line_blocks_find_every_fingerprint_in_reach(spark):
+    rng = random.Random(3)
+    fps = [rng.randrange(1 << 64) for _ in range(40)]
+    fps += [f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in fps] + [fps[0] ^ 7]
+    rows = spark.createDataFrame([(k, simhash.signed(f)) for k, f in enumerate(fps)], "k long, fp long")
+    keys = {r.k: set(r.keys) for r in rows.select("k", F.array(*lines.block_keys(F.col("fp"))).alias("keys")).collect()}
+    for i, a in enumerate(fps):
+        for j, b in enumerate(fps[:i]):
+            assert bool(keys[i] & keys[j]) or (a ^ b).bit_count() > lines.RADIUS
+
+
+@pytest.mark.parametrize("sizes, least", [(range(4, 16), 1.0), ([*range(16, 31), 45, 60, 70, 100], 0.9)])
+def test_lines_find_similar(spark, sizes, least):
+    """Of the groups that brute force makes of word-level similarities of 0.8 or more, with variants of one edit up to a
+    fifth of all words: every one of lines under 16 words is found, and nine in ten of the variants of longer ones."""
     rng = random.Random(5)
     words = [f"w{k}" for k in range(300)]
     made = []
-    for n in [*range(4, 31), 45, 60, 70]:
+    for n in sizes:
         base = [words[int(300 * rng.random() ** 3)] for _ in range(n)]
         made.append(base)
         for edits in {1, n // 5}:
@@ -355,4 +368,5 @@ def test_lines_find_all_similar(spark):
         group = [new if g == old else g for g in group]
     docs = spark.createDataFrame([(k, " ".join(m)) for k, m in enumerate(made)], "doc_id long, text string")
     kept = sum(r.n_kept for r in lines.line_digest(docs).collect())
-    assert len(near) > 60 and kept <= len(set(group))  # words with equal symbols may link more
+    right = len(set(group))
+    assert right <= kept <= right + (1 - least) * (len(made) - right)

@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.tidegrid_path = path  # for discard()
     _MADE.append(out)

@@ -1,37 +1,40 @@
-"""Line dedup: normalised lines that share one of their rarest word pairs, checked by edit similarity.
-
-One occurrence of each group of linked lines stays. All of it is built-in expressions: lines within SIMILARITY have so
-many pairs of neighbouring words in common that they share one of a few rarest ones (prefix filter), so every similar
-pair is a candidate, and groups are connected components over line hashes. Edits are counted in words: a line is kept
-as a string with one symbol for each word, which is what the check compares, so texts are read once and not shuffled for
-it. Two different words have the same symbol once in SYMBOLS times, which can only hide that edit.
+"""Line dedup: SimHash of normalised lines, joined on pigeonhole blocks, checked by edit similarity.
+
+One occurrence of each group of linked lines stays. All of it is built-in expressions. A line's features are its
+shingles of a few words, all of a short line and a sample by hash of a longer one; SimHash turns them to 64 bits, and
+fingerprints that differ in up to RADIUS bits agree in BLOCKS - RADIUS of the blocks at least, which are the buckets.
+SimHash alone can't reach SIMILARITY: one edited word in ten moves nine bits or so, more than blocks can cover. So the
+features are buckets of their own as well: lines meet in whatever either finds, and edit similarity, counted in words,
+decides. Lines under sixteen words surely meet if they are similar; the share of longer ones is in the README.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
-
-SYMBOLS = 222
-#: Lines are linked at SIMILARITY, 1 - edited words / words of the longer.
-SIMILARITY = 0.8
-#: Words are ranked by their frequency in one of SAMPLE texts, counted in RANKS hashes. Ranks only order the word pairs:
-#: any ranking finds the same links, a good one with fewer comparisons.
-RANKS, SAMPLE = 1 << 16, 16
+from .common import connected_components, discard, materialize
+
+#: Lines are linked at SIMILARITY, 1 - edited words / words of the longer; all shorter ones link if equal.
+SIMILARITY, SHORTEST = 0.8, 5
+#: Fingerprints' blocks of bits, and the differing bits for which they find every pair.
+BLOCKS, RADIUS = 4, 2
+#: Features have three words in lines under LONG[1], four in lines from LONG[0], so that similar lines have one kind in
+#: common. A line of n words keeps one in the largest power of two up to n / LEAST: LEAST to 2 * LEAST of them.
+LONG, LEAST = (16, 20), 8
+#: A word is one of SYMBOLS code points, from the one after the surrogates, when edits are counted.
+SYMBOLS, SURROGATES = 1 << 20, 0x10000
+#: Longs of word parities, a power of two.
+PARITIES = 4
 #: Rounds of comparison with one line a bucket, before the pairs that are left.
 PIVOTS = 2
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_MARKS = "".join(map(chr, [*range(32), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
-def normalise(line: Column) -> Column:
-    """A-Z lower-cased; control characters, white space and ASCII punctuation are one space, none at the ends.
-
-    One translation, so that the pattern only meets runs of spaces: most lines have few.
-    """
-    return F.trim(F.regexp_replace(F.translate(line, _UPPER + _MARKS, _LOWER + " " * len(_MARKS)), " {2,}", " "))
+def words_of(line: Column) -> Column:
+    """The words of a line: lower-cased, between spaces, ASCII punctuation and control characters."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(line), r"[\x00-\x1f!-/:-@\[-`{-\x7f]+", " "), " "), "")
 
 
 def _lanes(hashes: Column, width: int) -> Column:
@@ -56,36 +59,18 @@ def _lanes(hashes: Column, width: int) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """A bit is 1 if it is set in over half of the hashes; narrow lanes for short lines, wider ones beyond."""
+    """A bit is 1 if it is set in over half of the hashes; narrow lanes for few of them, wider ones beyond."""
     n = F.size(hashes)
-    return F.when(n < 1 << 7, _lanes(hashes, 8)).when(n < 1 << 15, _lanes(hashes, 16)).otherwise(_lanes(hashes, 32))
+    return F.when(n < 1 << 6, _lanes(hashes, 8)).when(n < 1 << 14, _lanes(hashes, 16)).otherwise(_lanes(hashes, 32))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, pos, norm) of lines with at least one word; tkey is the text's hash."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return each.select("doc_id", "tkey", "pos", normalise(F.col("line")).alias("norm")).where("norm <> ''")
-
-
-def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of line hashes whose lines are similar enough."""
-    both = pairs.join(codes.select(F.col("id").alias("u"), F.col("code").alias("a")), "u")
-    both = both.join(codes.select(F.col("id").alias("v"), F.col("code").alias("b")), "v")
-    both = both.withColumn("most", _edits(F.greatest(F.length("a"), F.length("b"))))
-    return both.where(F.expr("levenshtein(a, b, most) >= 0")).select("u", "v")
-
-
-def _near(x: str, y: str) -> Column:
-    """Whether two rows could be similar by their numbers of words and the parities of their words' bits.
-
-    An edited word changes two bits of a parity at most, so no similar pair is let go.
-    """
-    a, b = F.col(f"{x}n"), F.col(f"{y}n")
-    most = _edits(F.greatest(a, b))
-    out = F.abs(a - b) <= most
-    for c in ("even", "odd"):
-        out &= F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) <= 2 * most
-    return out
+def block_keys(fp: Column) -> list[Column]:
+    """A key for every choice of BLOCKS - RADIUS blocks: fingerprints within RADIUS bits share one of them."""
+    width, keys = 64 // BLOCKS, []
+    for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS)):
+        mask = sum(((1 << width) - 1) << width * b for b in chosen)
+        keys.append(F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    return keys
 
 
 def _edits(words: Column) -> Column:
@@ -93,62 +78,93 @@ def _edits(words: Column) -> Column:
     return F.floor(F.lit(round(1 - SIMILARITY, 9)) * words + F.lit(1e-9)).cast("int")
 
 
-def _parity(hashes: Column, at: int) -> Column:
-    """A bit is 1 if an odd number of hashes have its number in their six bits from ``at``."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+def _joined(a: str, b: str, ahead: int) -> Column:
+    """Hashes of each element of ``a`` with the one of ``b`` that stands ``ahead`` further, as far as both go."""
+    reach = F.greatest(F.size(b) - ahead, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), reach), F.slice(b, F.lit(ahead + 1), reach), lambda x, y: F.xxhash64(x, y))
 
 
-def _ranks(docs: DataFrame) -> Column:
-    """A literal with a byte, 32 + the bit length of the count, for each of RANKS hashes of words."""
-    words = _lines(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).select(F.explode(F.split("norm", " ")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RANKS)).cast("int").alias("k")).count()
-    table = bytearray(b" " * RANKS)
-    for k, n in counts.toLocalIterator():
-        table[k] = 32 + n.bit_length()
-    return F.lit(bytes(table))
+def with_buckets(lines: DataFrame) -> DataFrame:
+    """``lines`` (with norm and n) and their ``buckets``: features, and blocks of the features' SimHash.
 
+    A feature is kept if its hash is 0 modulo a power of two, n / LEAST or less (if there is none, the least one): what
+    a longer line keeps, a shorter one keeps too, so similar lines keep the same of what they share. An edit takes three
+    runs of three words at most and lines under 2 * LEAST words keep all of theirs, so that similar ones share one;
+    where it is the middle of five words that differs, they share a pair of words.
+    """
+    n, none = F.col("n"), F.array().cast("array<long>")
+    sieve = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2(F.greatest(F.lit(1.0), n / LEAST))).cast("int")) - 1
+    out = lines.withColumn("words", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    out = out.withColumn("twos", _joined("words", "words", 1)).withColumn("sieve", sieve)
+    out = out.withColumn("threes", F.when(n < LONG[1], _joined("twos", "words", 2)).otherwise(none))
+    out = out.withColumn("fours", F.when(n >= LONG[0], _joined("twos", "twos", 2)).otherwise(none))
+    for runs in ("threes", "fours"):
+        some = out.withColumn("some", F.filter(runs, lambda x: x.bitwiseAND(F.col("sieve")) == 0))
+        least = F.array_compact(F.array(F.array_min(runs)))
+        out = some.withColumn(runs, F.when(F.size("some") > 0, F.col("some")).otherwise(least))
+    out = out.withColumn("fp", simhash(F.when(n < LONG[1], F.col("threes")).otherwise(F.col("fours"))))
+    pairs = F.when(n == SHORTEST, F.col("twos")).otherwise(none)
+    found = F.array_distinct(F.concat("threes", "fours", pairs, F.array(*block_keys(F.col("fp")))))
+    return out.select(*lines.columns, F.when(n >= SHORTEST, found).otherwise(none).alias("buckets"))
+
+
+def _symbols(hashes: Column) -> Column:
+    """A string with one symbol for each word; two words have the same one once in SYMBOLS times."""
+    point = lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit(SYMBOLS - 1)) + F.lit(SURROGATES)), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(hashes, point), "")), "UTF-32")
+
+
+def _parities(hashes: Column) -> list[Column]:
+    """PARITIES longs of bits: one is 1 if an odd number of hashes have its number in their last bits."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(PARITIES - 1)) == k)
+    return [F.aggregate(part(k), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h))).alias(f"p{k}") for k in range(PARITIES)]
 
-def _rare_pairs(hashes: Column, ranks: Column) -> Column:
-    """The keys of a line's rarest pairs of neighbouring words, of which any two similar lines have one in common.
 
-    An edit takes two pairs at most. Lines of n and m >= n words with d = _edits(m) edits thus have m - 1 - 2 d pairs in
-    common or more, which is least at m = n or at the next multiple of five, where _edits grows. All but so many of a
-    line's n - 1 pairs, and one more, are enough if all lines order pairs alike, by rank and then hash. Under four words
-    a similar line is an equal one.
+def _near(x: str, y: str) -> Column:
+    """Whether two rows could be similar by their numbers of words and the parities of their words' hashes.
+
+    An edited word changes two bits at most, so no similar pair is let go. Lines of over 300 words mostly pass.
     """
-    n = F.size(hashes)
-    d = _edits(n)
-    ranked = F.transform(hashes, lambda h: F.ascii(F.substring(ranks, F.pmod(h, F.lit(RANKS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"))
-    both = F.arrays_zip(hashes.alias("h"), ranked.alias("r"))
-    ahead = F.slice(both, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    key = lambda a, b: F.shiftleft(a["r"] + b["r"], 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a["h"], b["h"]), 24))
-    pairs = F.zip_with(F.slice(both, F.lit(1), F.greatest(n - 1, F.lit(0))), ahead, key)
-    rarest = F.slice(F.sort_array(pairs), F.lit(1), F.greatest(2 * d, n - 3 * d - 3) + 1)
-    return F.when(n >= 4, F.array_distinct(rarest)).otherwise(F.array().cast("array<long>"))
+    a, b = F.col(f"{x}n"), F.col(f"{y}n")
+    most = _edits(F.greatest(a, b))
+    apart = sum(F.bit_count(F.col(f"{x}p{k}").bitwiseXOR(F.col(f"{y}p{k}"))) for k in range(PARITIES))
+    return (F.abs(a - b) <= most) & (apart <= 2 * most)
 
 
-def fuzzy_links(places: DataFrame, unique: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all similar lines among the distinct (id, n, even, odd, keys, times); n is words, keys
-    are the buckets, times is occurrences.
+def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines that are similar enough."""
+    both = pairs.join(codes.select(F.col("id").alias("u"), F.col("code").alias("a")), "u")
+    both = both.join(codes.select(F.col("id").alias("v"), F.col("code").alias("b")), "v")
+    both = both.withColumn("most", _edits(F.greatest(F.length("a"), F.length("b"))))
+    return both.where(F.expr("levenshtein(a, b, most) >= 0")).select("u", "v")
+
+
+def fuzzy_links(unique: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect all similar lines that meet, among the distinct (id, norm, n, times, buckets).
 
     First the buckets' lines that have any candidate there at all, and their words' symbols. Then, PIVOTS times, each
     bucket's lines are compared with one of them, the most frequent, which variants are most likely made from; what that
     links is joined to groups, and the next one comes from another group. Only pairs of different groups are left to
     compare at the end. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
     """
-    keyed = unique.select(F.explode("keys").alias("bucket"), "id")
+    keyed = unique.select(F.explode("buckets").alias("bucket"), "id")
     other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id"))
     shared = materialize(keyed.alias("a").join(keyed.alias("b"), other, "left_semi"), "line-shared")
-    met = materialize(shared.join(unique.select("id", "n", "even", "odd", F.col("times").cast("int").alias("times")), "id"), "line-met")
+    words = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
+    lines = unique.join(shared.select("id").distinct(), "id", "left_semi").withColumn("words", words)
+    lines = lines.select("id", "n", F.col("times").cast("int").alias("times"), *_parities(F.col("words")), _symbols(F.col("words")).alias("code"))
+    lines = materialize(lines, "line-candidates")
+    codes = lines.select("id", "code")
+    met = materialize(shared.join(lines.drop("code"), "id"), "line-met")
+    discard(shared)
     told = met.alias("a").join(met.alias("b"), other & _near("a.", "b."), "left_semi")
-    told = materialize(told.select("bucket", "id", "n", "even", "odd", "times", F.col("id").alias("family")), "line-told")
-    codes = places.select("id", "code").join(told.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("code").alias("code"))
-    codes = materialize(codes, "line-codes")
-    links, left = None, told
+    told = materialize(told.withColumn("family", F.col("id")), "line-told")
+    discard(met)
+    links, left, own = None, told, ("id", "n", *[f"p{k}" for k in range(PARITIES)], "family")
     for _ in range(PIVOTS):
-        heads = left.groupBy("bucket").agg(F.max(F.struct("times", "id", "n", "even", "odd", "family")).alias("head"))
-        heads = materialize(heads.select("bucket", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("id", "n", "even", "odd", "family")]), "line-heads")
+        heads = left.groupBy("bucket").agg(F.max(F.struct("times", *own)).alias("head"))
+        heads = materialize(heads.select("bucket", *[F.col(f"head.{c}").alias(f"head_{c}") for c in own]), "line-heads")
         pairs = told.join(heads, "bucket").where((F.col("family") != F.col("head_family")) & _near("", "head_"))
         pairs = pairs.select(F.col("id").alias("u"), F.col("head_id").alias("v")).distinct()
         found = materialize(_verified(pairs, codes), "line-links")
@@ -170,28 +186,31 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     A group is all lines that similarity links, directly or through others; lines equal after normalisation always
     link. The occurrence with the smallest (doc_id, hash of text, place) stays, null doc_ids last. Rows that repeat both
     doc_id and text are one row's copies and are treated alike. Lines without a word are never removed; null text has
-    no lines; an empty table gives no rows.
+    no lines; an empty table gives no rows. Lines are told apart by 128 bits.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = _lines(docs).withColumn("hashes", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    symbol = lambda h: F.char(F.pmod(h, F.lit(SYMBOLS)) + 34)
-    code = F.array_join(F.transform("hashes", symbol), "")
-    hashes = F.col("hashes")
-    places = words.select(
-        "doc_id", "tkey", "pos", F.xxhash64("norm").alias("id"), F.size(hashes).alias("n"), code.alias("code"),
-        _parity(hashes, 0).alias("even"), _parity(hashes, 6).alias("odd"), _rare_pairs(hashes, _ranks(docs)).alias("keys"),
-    )
-    places = materialize(places, "line-places")
-    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey", "pos")
-    same = [F.first(c).alias(c) for c in ("n", "even", "odd", "keys")]
-    unique = materialize(places.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.min(own).alias("first"), *same), "line-unique")
-    groups = materialize(connected_components(fuzzy_links(places, unique), "line-groups"), "line-components")
-    inside = unique.join(groups.withColumnRenamed("node", "id"), "id")
+    text, words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("words")
+    each = text.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    each = each.select("doc_id", "tkey", "pos", words_of(F.col("line")).alias("words"))
+    norm = F.array_join("words", " ")
+    places = each.select("doc_id", "tkey", "pos", F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(7), words).alias("h2"), F.size(words).alias("n"), norm.alias("norm"))
+    texts = materialize(places, "line-texts", "zstd")
+    places = texts.where("n > 0")  # only here: before, it would have words made twice
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey", "pos", "n", "norm")).alias("least")
+    unique = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), least)
+    own = ("nameless", "doc_id", "tkey", "pos")
+    first = F.struct(*[F.col(f"least.{c}").alias(c) for c in own]).alias("first")
+    unique = with_buckets(unique.select("h1", "h2", "times", first, "least.n", "least.norm"))
+    unique = materialize(unique.withColumn("id", F.monotonically_increasing_id()), "line-unique", "zstd")
+    slim = materialize(places.select("doc_id", "tkey", "pos", "h1", "h2"), "line-places")
+    discard(texts)
+    groups = materialize(connected_components(fuzzy_links(unique), "line-groups"), "line-components")
+    inside = unique.select("id", "first").join(groups.withColumnRenamed("node", "id"), "id")
     stays = inside.groupBy("component").agg(F.min("first").alias("stays"))
     linked = materialize(groups.join(stays, "component").select(F.col("node").alias("id"), "stays"), "line-stays")
-    alone = unique.where("times > 1").join(linked, "id", "left_anti").select("id", F.col("first").alias("stays"))
-    known = materialize(linked.union(alone), "line-known")
-    lost = places.select("doc_id", "tkey", "pos", "id").join(known, "id").where(~own.eqNullSafe(F.col("stays")))
+    known = unique.select("id", "h1", "h2", "times", "first").join(linked, "id", "left")
+    known = materialize(known.where("times > 1 OR stays IS NOT NULL").select("h1", "h2", F.coalesce("stays", "first").alias("stays")), "line-known")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey", "pos")
+    lost = slim.join(known, ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
     return lost.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
@@ -203,8 +222,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = materialize(repeated_lines(docs), "line-removed").toDF("line_doc", "line_text", "line_gone")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.line_doc")) & (F.xxhash64("d.text") == F.col("g.line_text"))
     lost = F.col("g.line_gone")
-    kept = F.filter(F.split("d.text", "\n", -1), lambda _, k: ~F.array_contains(lost, k))
-    text = F.when(lost.isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
+    lines = F.split("d.text", "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    text = F.when(lost.isNull(), F.col("d.text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
     own = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
