@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, discard, materialize
 
 #: Lines are linked at SIMILARITY, 1 - edited words / words of the longer; all shorter ones link if equal.
-SIMILARITY, SHORTEST = 0.8, 5
+SIMILARITY, SHORTEST = 0.8, 4
 #: Fingerprints' blocks of bits, and the differing bits for which they find every pair.
 BLOCKS, RADIUS = 4, 2
 #: Features have three words in lines under LONG[1], four in lines from LONG[0], so that similar lines have one kind in
@@ -89,8 +89,8 @@ def with_buckets(lines: DataFrame) -> DataFrame:
 
     A feature is kept if its hash is 0 modulo a power of two, n / LEAST or less (if there is none, the least one): what
     a longer line keeps, a shorter one keeps too, so similar lines keep the same of what they share. An edit takes three
-    runs of three words at most and lines under 2 * LEAST words keep all of theirs, so that similar ones share one;
-    where it is the middle of five words that differs, they share a pair of words.
+    runs of three words at most and lines under 2 * LEAST words keep all of theirs, so that similar ones share one. Only
+    where the middle of five words differs or is left out, they share no more than pairs of words.
     """
     n, none = F.col("n"), F.array().cast("array<long>")
     sieve = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2(F.greatest(F.lit(1.0), n / LEAST))).cast("int")) - 1
@@ -103,7 +103,7 @@ def with_buckets(lines: DataFrame) -> DataFrame:
         least = F.array_compact(F.array(F.array_min(runs)))
         out = some.withColumn(runs, F.when(F.size("some") > 0, F.col("some")).otherwise(least))
     out = out.withColumn("fp", simhash(F.when(n < LONG[1], F.col("threes")).otherwise(F.col("fours"))))
-    pairs = F.when(n == SHORTEST, F.col("twos")).otherwise(none)
+    pairs = F.when(n <= 5, F.col("twos")).otherwise(none)
     found = F.array_distinct(F.concat("threes", "fours", pairs, F.array(*block_keys(F.col("fp")))))
     return out.select(*lines.columns, F.when(n >= SHORTEST, found).otherwise(none).alias("buckets"))
 
