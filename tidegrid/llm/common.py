@@ -8,50 +8,67 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
-_MADE: list[DataFrame] = []
+#: For each open scratch(), the tables that go with it.
+_SCOPES: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where the setting is missing (tests)."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where the setting is missing on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
     return _LOCAL[app]
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back with the same schema."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back with the same schema.
+
+    Inside scratch() the table goes when that ends, or, with ``keep``, when the one around it does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.tidegrid_path = path  # for discard()
-    _MADE.append(out)
+    scopes = _SCOPES.get()
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(out)
     return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that nothing reads any more."""
+    """Delete a table made by materialize() that nothing reads any more; once more does nothing."""
     path = getattr(df, "tidegrid_path", None)
     if path:
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        _MADE[:] = [x for x in _MADE if x is not df]
-
 
 
-def made() -> list[DataFrame]:
-    """The tables that materialize() has made and discard() hasn't deleted, oldest first."""
-    return list(_MADE)
+@contextmanager
+def scratch() -> Iterator[None]:
+    """At the end, deletes the tables that materialize() makes inside and doesn't keep."""
+    mine: list[DataFrame] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for df in mine:
+            discard(df)
 
 
 def word_count(text: Column) -> Column:

@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, materialize, scratch
 
 #: Lines are linked at SIMILARITY, 1 - edited words / words of the longer; all shorter ones link if equal.
 SIMILARITY, SHORTEST = 0.8, 4
@@ -219,7 +219,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     One row for each input row, same columns; a document may be left with empty text.
     """
-    gone = materialize(repeated_lines(docs), "line-removed").toDF("line_doc", "line_text", "line_gone")
+    with scratch():
+        gone = materialize(repeated_lines(docs), "line-removed", keep=True).toDF("line_doc", "line_text", "line_gone")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.line_doc")) & (F.xxhash64("d.text") == F.col("g.line_text"))
     lost = F.col("g.line_gone")
     lines = F.split("d.text", "\n", -1)
@@ -235,7 +236,8 @@ def line_digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_lines, n_kept, removed (places from 0, joined by commas)."""
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))), F.lit(0)).cast("long")
     slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), n.alias("n_lines")), "line-docs")
-    gone = materialize(repeated_lines(docs), "line-removed").toDF("line_doc", "line_text", "line_gone")
+    with scratch():
+        gone = materialize(repeated_lines(docs), "line-removed", keep=True).toDF("line_doc", "line_text", "line_gone")
     same = F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.col("tkey") == F.col("line_text"))
     lost = F.coalesce(F.when(F.col("line_gone").isNotNull(), F.size("line_gone")), F.lit(0))
     return slim.join(gone, same, "left").select(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, scratch, word_count
 
 #: Bits of the hash that one level of the histogram resolves, and the number of levels.
 LEVEL_BITS, LEVELS = 12, 3
@@ -131,8 +131,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
 
     The thresholds are joined to the rows by source; the texts are not otherwise moved. Rows as in mix().
     """
-    ends = _ends(docs, weights, cap)[1].select("own", "copies", "cut").toDF("mix_source", "mix_copies", "mix_cut")
+    with scratch():
+        ends = materialize(_ends(docs, weights, cap)[1].select("own", "copies", "cut"), "mix-ends", keep=True).toDF("mix_source", "mix_copies", "mix_cut")
     joined = docs.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.mix_source")))
     times = _copies(F.col("d.doc_id"), F.col("e.mix_copies"), F.col("e.mix_cut"), cap)
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    return joined.where(times > 0).select(*own, F.explode(F.sequence(F.lit(1), times)).alias("mix_time")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"d.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    taken = joined.where(times > 0).select(row, F.explode(F.sequence(F.lit(1), times)))
+    return taken.select("row.*").toDF(*docs.columns)

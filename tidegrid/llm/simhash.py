@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, scratch
 
 SEED, FULL = 42, (1 << 64) - 1
 #: Most fingerprints in one tree, and most texts in one block of the exact comparison.
@@ -203,14 +203,15 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, block
 
     Equal fingerprints are one node from the start, so a group of copies of any size is one row of the search.
     """
-    prints = materialize(fingerprints(docs, shingle), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    keyed = nodes.select(F.explode(block_keys(F.col("fp"), blocks, blocks - radius)).alias("shard_key"), F.col("fp").alias("id"), "fp")
-    found = materialize(connected_components(sharded_links(keyed, radius), "simhash-links"), "simhash-components")
-    grouped = found.join(nodes.withColumnRenamed("fp", "node"), "node")
-    lows = grouped.groupBy("component").agg(F.min("low").alias("lowest"))
-    linked = materialize(grouped.join(lows, "component").select(F.col("node").alias("fp"), "lowest"), "simhash-lowest")
-    every = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id")), "simhash-ids")
+    with scratch():
+        prints = materialize(fingerprints(docs, shingle), "simhash", keep=True)
+        nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+        keyed = nodes.select(F.explode(block_keys(F.col("fp"), blocks, blocks - radius)).alias("shard_key"), F.col("fp").alias("id"), "fp")
+        found = materialize(connected_components(sharded_links(keyed, radius), "simhash-links"), "simhash-components")
+        grouped = found.join(nodes.withColumnRenamed("fp", "node"), "node")
+        lows = grouped.groupBy("component").agg(F.min("low").alias("lowest"))
+        linked = materialize(grouped.join(lows, "component").select(F.col("node").alias("fp"), "lowest"), "simhash-lowest")
+        every = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id")), "simhash-ids", keep=True)
     return prints.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -319,24 +320,25 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     BK-tree; similarity is then measured on the whole sets. Texts without words are one group, null text counts as
     empty, null doc_ids come last, rows that repeat doc_id and text count once, an empty table gives no rows.
     """
-    rows = materialize(_sketch(docs, shingle), "near-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")
-    nodes = rows.groupBy("t1", "t2").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("minima").alias("minima"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    keyed = nodes.select(F.posexplode("minima").alias("k", "least"), F.col("node").alias("id"), "fp")
-    keyed = keyed.select(F.xxhash64("k", "least").alias("shard_key"), "id", "fp")
-    families = materialize(connected_components(sharded_links(keyed, WIDE_RADIUS), "near-links"), "near-families")
-    members = nodes.join(families, "node").select("t1", "t2", "node", F.col("first.doc_id").alias("low"), "fp", F.col("component").alias("family"))
-    members = materialize(members, "near-members")
-    texts = _named(docs).join(members, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("low")))
-    sets = materialize(_sets(texts, shingle), "near-sets")
-    groups = materialize(connected_components(_verified(sets, similarity, WIDE_RADIUS), "near-verified"), "near-groups")
-    named = nodes.select("t1", "t2", "first", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    best = named.groupBy("group").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("node"))
-    stays = nodes.join(best, "node").select(F.col("t1").alias("near_t1"), F.col("t2").alias("near_t2"), F.col("first.doc_id").alias("near_doc"))
-    same = rows.groupBy("t1", "t2", "doc_id").agg(F.count(F.lit(1)).alias("near_n"))
-    on = (F.col("near_t1") == F.col("t1")) & (F.col("near_t2") == F.col("t2")) & F.col("near_doc").eqNullSafe(F.col("doc_id"))
-    stays = materialize(stays.join(same, on).select("near_t1", "near_t2", "near_doc", "near_n"), "near-stays")
+    with scratch():
+        rows = materialize(_sketch(docs, shingle), "near-rows")
+        order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")
+        nodes = rows.groupBy("t1", "t2").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("minima").alias("minima"))
+        nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+        keyed = nodes.select(F.posexplode("minima").alias("k", "least"), F.col("node").alias("id"), "fp")
+        keyed = keyed.select(F.xxhash64("k", "least").alias("shard_key"), "id", "fp")
+        families = materialize(connected_components(sharded_links(keyed, WIDE_RADIUS), "near-links"), "near-families")
+        members = nodes.join(families, "node").select("t1", "t2", "node", F.col("first.doc_id").alias("low"), "fp", F.col("component").alias("family"))
+        members = materialize(members, "near-members")
+        texts = _named(docs).join(members, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("low")))
+        sets = materialize(_sets(texts, shingle), "near-sets")
+        groups = materialize(connected_components(_verified(sets, similarity, WIDE_RADIUS), "near-verified"), "near-groups")
+        named = nodes.select("t1", "t2", "first", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        best = named.groupBy("group").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("node"))
+        stays = nodes.join(best, "node").select(F.col("t1").alias("near_t1"), F.col("t2").alias("near_t2"), F.col("first.doc_id").alias("near_doc"))
+        same = rows.groupBy("t1", "t2", "doc_id").agg(F.count(F.lit(1)).alias("near_n"))
+        on = (F.col("near_t1") == F.col("t1")) & (F.col("near_t2") == F.col("t2")) & F.col("near_doc").eqNullSafe(F.col("doc_id"))
+        stays = materialize(stays.join(same, on).select("near_t1", "near_t2", "near_doc", "near_n"), "near-stays", keep=True)
     text = F.coalesce(F.col("d.text"), F.lit(""))
     on = (F.xxhash64(text) == F.col("s.near_t1")) & (F.xxhash64(F.lit(7), text) == F.col("s.near_t2")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.near_doc"))
     whole = F.struct(*[F.col(f"d.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")

@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, scratch
+
 #: Labelled rows fitted on, features kept for each category, rows that must hold a feature, folds, ridge, rounds of
 #: gradient descent.
 SAMPLE, FEATURES, LEAST_ROWS, FOLDS, RIDGE, STEPS = 8_000, 300, 5, 5, 3e-4, 100
-#: Features are hashed to so many numbers: what the fit counts is bounded, whatever the words are.
+#: Features are hashed to so many numbers.
 HASHES = 1 << 22
 #: Word beginnings used as features, by length.
 PREFIXES = (4, 5)
@@ -104,28 +106,37 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, wid
     return x[:width], x[width:-1], float(x[-1])
 
 
-def fit_chain(owner: np.ndarray, features: np.ndarray, labels: np.ndarray, categories: list[str], folds: np.ndarray) -> Chain:
-    """Features by smoothed log-odds and support, then one model a category, in order.
+def chosen_features(sample: DataFrame, categories: list[str]) -> list[int]:
+    """FEATURES of each category, by smoothed log-odds and support, of those that LEAST_ROWS or more entries hold.
 
-    ``owner`` and ``features`` are one entry for each feature of each different word of each sampled row.
+    Counted in Spark from (categories..., features); ties go to the smaller hash, and no more than the chosen ones come
+    to the driver.
+    """
+    flags = [F.sum(c).alias(c) for c in categories]
+    total = sample.agg(F.count(F.lit(1)).alias("n"), *flags).first()
+    counts = sample.select(*categories, F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *flags)
+    counts = materialize(counts.where(F.col("n") >= LEAST_ROWS), "toxicity-counts")
+    best = None
+    for c in categories:
+        yes = total[c] or 0
+        a, b = F.col(c) + 0.5, F.col("n") - F.col(c) + 0.5
+        odds = F.log(a / (yes + 1)) - F.log(b / (total["n"] - yes + 1))
+        top = counts.select("feature", (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("strength")).orderBy(F.desc("strength"), "feature").limit(FEATURES)
+        best = top if best is None else best.union(top)
+    return sorted({r.feature for r in best.collect()})
+
+
+def fit_chain(owner: np.ndarray, features: np.ndarray, names: list[int], labels: np.ndarray, categories: list[str], folds: np.ndarray) -> Chain:
+    """One model a category, in order.
+
+    ``owner`` and ``features`` are one entry for each of the features ``names`` of each different word of each sampled
+    row.
     """
-    n = len(labels)
-    support = np.bincount(features, minlength=HASHES)
-    common = support >= LEAST_ROWS
-    chosen = np.zeros(HASHES, bool)
-    for k in range(len(categories)):
-        yes = labels[:, k].astype(bool)
-        a = np.bincount(features[yes[owner]], minlength=HASHES)
-        b = support - a
-        odds = np.log((a + 0.5) / (yes.sum() + 1)) - np.log((b + 0.5) / (n - yes.sum() + 1))
-        strength = np.where(common, np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), -1.0)
-        chosen[np.argpartition(-strength, FEATURES)[:FEATURES]] = True
-    chosen &= common
-    names, kept = np.flatnonzero(chosen), chosen[features]
-    number = np.cumsum(chosen) - 1
-    pairs, times = np.unique(owner[kept].astype(np.int64) * HASHES + features[kept], return_counts=True)
-    rows, cols, vals = pairs // HASHES, number[pairs % HASHES], np.log1p(times.astype(float))
-    width, models = int(chosen.sum()), []
+    n, names = len(labels), np.array(names, np.int64)
+    number = np.searchsorted(names, features)
+    pairs, times = np.unique(owner.astype(np.int64) * HASHES + number, return_counts=True)
+    rows, cols, vals = pairs // HASHES, pairs % HASHES, np.log1p(times.astype(float))
+    width, models = len(names), []
     earlier = np.zeros((n, 0))
     for k, category in enumerate(categories):
         fit = lambda use: fit_linear(rows, cols, vals, n, width, earlier, labels[:, k], use)  # noqa: E731, B023
@@ -161,19 +172,33 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_sound":
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES) -> Chain:
-    """A chain fitted on a sample of at most about SAMPLE labelled rows; their word counts come to the driver."""
+    """A chain fitted on a sample of at most about SAMPLE labelled rows.
+
+    Features are counted and chosen in Spark; the driver gets the sampled rows' chosen features, which are bounded by
+    FEATURES a category whatever the length of the texts.
+    """
     names = list(categories)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 held = [sorted(f for w in words_of(t) for f in features_of(w)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(held, pa.list_(pa.int32()))], ["label_id", *names, "features"])
 
-    sample = labelled_sample(docs, labels, categories)
     kinds = ", ".join(f"{c} int" for c in names)
-    got = sample.mapInArrow(count, f"label_id long, {kinds}, features array<int>").toArrow()
+    schema = f"label_id long, {kinds}, features array<int>"
+    with scratch():
+        sample = materialize(labelled_sample(docs, labels, categories).mapInArrow(words, schema), "toxicity-sample")
+        chosen = chosen_features(sample, names)
+        wanted = np.array(chosen, np.int32)
+
+        def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held = [x[np.isin(x, wanted)] for x in (np.array(v, np.int32) for v in b.column(b.num_columns - 1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held, pa.list_(pa.int32()))], ["label_id", *names, "features"])
+
+        got = sample.mapInArrow(only_chosen, schema).toArrow()
     ids = got.column("label_id").to_numpy()
     held = got.column("features").combine_chunks()
     folds = ids * 2654435761 % (1 << 32) % FOLDS
@@ -181,11 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
     features = held.flatten().to_numpy(zero_copy_only=False) if len(held) else np.zeros(0, np.int32)
     labels = np.column_stack([got.column(c).to_numpy() for c in names]).astype(np.int64).reshape(-1, len(names))
-    return fit_chain(owner, features, labels, names, folds)
+    return fit_chain(owner, features, chosen, labels, names, folds)
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` with a column p_<category> for each category; null or empty text is scored by the constants alone.
+def score(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
+    """``docs`` with a column <prefix><category> for each category; null or empty text is scored by the constants alone.
 
     Repeated rows get equal scores, other columns stay, an empty table gives no rows; texts are read whole.
     """
@@ -223,16 +248,23 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     out_names, out_names_p = [*[f"c{k}" for k in range(len(own))], "text"], [f"p{k}" for k in range(len(names))]
     schema = ", ".join([*[f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)], *[f"{p} double" for p in out_names_p]])
     done = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)], F.col("text").alias("text_scored")).mapInArrow(run, schema)
-    return done.toDF(*own, *[f"p_{c}" for c in names])
+    return done.toDF(*own, *[f"{prefix}{c}" for c in names])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The query's columns: doc_id, p_low_quality, p_toxic, p_toxic_sound, toxic (p_toxic of at least THRESHOLD)."""
+    """The query's columns: doc_id, p_low_quality, p_toxic, p_toxic_sound, toxic (p_toxic of at least THRESHOLD).
+
+    One row for each input row: null and empty texts are scored by the constants, repeated rows alike, other columns are
+    ignored, no labels give constants only, and an empty table gives no rows.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels)).drop("text")
     return scored.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the chain finds toxic; same columns."""
-    scored = score(docs, train(docs, labels))
-    return scored.where(F.col("p_toxic") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows that the chain finds toxic; same columns, whatever their names."""
+    prefix = "p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    scored = score(docs, train(docs, labels), prefix)
+    return scored.where(F.col(f"{prefix}toxic") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
