@@ -263,11 +263,39 @@ def test_embeddings(spark, sf, size, monkeypatch):
         if r.vec_id is not None:
             low[k] = min(low.get(k, r.vec_id), r.vec_id)
     want = sorted((str(r.vec_id), n, str(low.get(k))) for r, k, n in zip(plain, root, links))
-    got = hnsw.embedding_components(rows).collect()
-    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == want
+    for searches in (8, 1):
+        monkeypatch.setattr(hnsw, "SEARCHES", searches)
+        got = hnsw.embedding_components(rows).collect()
+        assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == want
     assert hnsw.embedding_components(rows.limit(0)).count() == 0
 
 
+def test_embedding_graph_finds_sparse_links():
+    """A graph of 6,000 vectors of which one in twenty has one link: recall by brute force, self-links aside."""
+    rng = np.random.default_rng(11)
+    own = hnsw.unit(rng.standard_normal((6000, 48)))
+    own[5700:] = hnsw.unit(own[:300] + 0.25 / np.sqrt(48) * rng.standard_normal((300, 48)))
+    shard = hnsw.Shard(np.arange(6000), np.ones(6000, np.int64), own, 0.93)
+    q, p = shard.links(own)
+    found = {(a, b) for a, b in zip(q.tolist(), p.tolist()) if a != b}
+    truth = {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(own @ own.T >= 0.93))) if a != b}
+    assert len(truth) > 300 and found <= truth and len(found) >= 0.98 * len(truth)
+    foreign = hnsw.unit(own[:200] + 0.1 / np.sqrt(48) * rng.standard_normal((200, 48)))
+    shard.audit(np.arange(10_000, 10_200), foreign)
+    assert len(shard.links(foreign)[0]) >= 0.98 * np.count_nonzero(foreign @ own.T >= 0.93)
+
+
+def test_mix_tells_rows_of_one_id_apart(spark):
+    rows = [(None, f"text {k} of three", ("a", "b")[k % 2]) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r.target] = taken.get(r.target, 0) + r.taken
+    assert len(taken) == 2 and all(abs(n - target) <= 8 for target, n in taken.items())
+    clash = docs.withColumn("mix_time", F.lit(1)).withColumn("h", F.lit(2)).withColumn("p_toxic", F.lit(3.0))
+    assert mixing.mixed_documents(clash).columns == clash.columns and mixing.mixed_documents(clash).count() > 0
+
+
 def test_mixing(docs, spark):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()

@@ -20,7 +20,9 @@ from .common import connected_components, materialize
 
 #: Neighbours a node keeps, beam while building, first beam of the search, searches in step, vectors audited a shard,
 #: recall they must reach, and bytes of single-precision vectors in a shard (65,536 of 64 components).
-DEGREE, BUILD_BEAM, FIRST_BEAM, IN_STEP, AUDITED, RECALL, SHARD_BYTES = 24, 40, 24, 256, 256, 0.995, 1 << 24
+DEGREE, BUILD_BEAM, FIRST_BEAM, IN_STEP, AUDITED, RECALL, SHARD_BYTES = 24, 40, 24, 256, 1024, 0.995, 1 << 24
+#: Shards' worth of searches that one task answers; more are dealt to tasks that each build the shard's graph.
+SEARCHES = 8
 #: Single precision finds, double decides: the margin by which the search goes below the threshold.
 MARGIN = 1e-4
 
@@ -201,11 +203,24 @@ class Shard:
         self.graph = Graph(self.exact.astype(np.float32))
         self.group = np.arange(len(nodes))
         self.beam = FIRST_BEAM
+        self.audited = False
         step = max(1, len(nodes) // AUDITED)
-        audit = self.exact[::step][:AUDITED]
-        truth = int(np.count_nonzero(audit @ self.exact.T >= least))
-        while truth and self.beam < len(nodes):
-            if len(self.links(audit)[0]) >= RECALL * truth:
+        self.audit(nodes[::step][:AUDITED], self.exact[::step][:AUDITED])
+
+    def audit(self, nodes: np.ndarray, queries: np.ndarray) -> None:
+        """Widens the beam until the queries find RECALL of their links, by brute force, on average.
+
+        Each query with a link counts alike, however many it has, and none counts the link with itself.
+        """
+        truth = np.zeros(len(queries))
+        for k in range(0, len(queries), 64):
+            near = queries[k : k + 64] @ self.exact.T >= self.least
+            truth[k : k + 64] = (near & (nodes[k : k + 64, None] != self.nodes)).sum(axis=1)
+        asked = np.flatnonzero(truth)
+        while len(asked) and self.beam < len(self.nodes):
+            q, p = self.links(queries[asked])
+            found = np.bincount(q[nodes[asked][q] != self.nodes[p]], minlength=len(asked))
+            if np.mean(found / truth[asked]) >= RECALL:
                 break
             self.beam *= 2
 
@@ -245,20 +260,23 @@ class Shard:
 def _search(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces():
-            """(key, planted, nodes, copies, vectors) of rows that follow each other with one key."""
+            """(key, planted, lead, nodes, copies, vectors) of rows that follow each other with one key."""
             for b in batches:
                 if not b.num_rows:
                     continue
-                shard, planted, node, copies = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+                shard, planted, lead, node, copies = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
                 cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (planted[1:] != planted[:-1])) + 1
                 for i, j in zip([0, *cuts], [*cuts, len(shard)]):
-                    flat = b.column(4).slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
-                    yield int(shard[i]), bool(planted[i]), node[i:j], copies[i:j], flat.reshape(j - i, -1)
+                    flat = b.column(5).slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
+                    yield int(shard[i]), bool(planted[i]), bool(lead[i]), node[i:j], copies[i:j], flat.reshape(j - i, -1)
 
         def rows(found) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "n_links", "to"])
 
         def asked(shard: Shard, nodes: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not shard.audited and nodes[0] not in shard.nodes:  # searches from other shards have no node to start from
+                shard.audit(nodes[:IN_STEP], unit(vectors[:IN_STEP].astype(np.float64)))
+                shard.audited = True
             for k in range(0, len(nodes), IN_STEP):
                 yield rows(shard.answer(nodes[k : k + IN_STEP], vectors[k : k + IN_STEP]))
 
@@ -271,23 +289,27 @@ def _search(least: float):
             nodes, copies, vectors = (np.concatenate([h[k] for h in held]) for k in range(3))
             yield Shard(nodes, copies, vectors, least), nodes, vectors
 
-        key, held, shard = None, [], None
-        for own, planted, nodes, copies, vectors in pieces():
+        def own_searches(shard: Shard, lead: bool, nodes: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+            return asked(shard, nodes, vectors) if lead else iter(())
+
+        key, held, shard, first = None, [], None, False
+        for own, planted, lead, nodes, copies, vectors in pieces():
             if own != key or (held and not planted):
                 if held:
                     for shard, all_nodes, all_vectors in built(held):
-                        yield from asked(shard, all_nodes, all_vectors)
+                        yield from own_searches(shard, first, all_nodes, all_vectors)
                     held = []
                 if own != key:
                     yield from closed(shard)
                     key, shard = own, None
             if planted:
+                first = lead
                 held.append((nodes, copies, vectors))
             else:
                 yield from asked(shard, nodes, vectors)
         if held:
             for shard, all_nodes, all_vectors in built(held):
-                yield from asked(shard, all_nodes, all_vectors)
+                yield from own_searches(shard, first, all_nodes, all_vectors)
         yield from closed(shard)
 
     return run
@@ -304,7 +326,8 @@ def embedding_components(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows.
 
     Equal vectors of a label are one node from the start. A label's vectors are all searched in each of its shards, so
-    the work is the label's size times its number of shards; a shard and one block of searches is what a task holds.
+    the work is the label's size times its number of shards; a shard and one block of searches is what a task holds. A
+    shard that over SEARCHES shards search in is planted in several tasks, which share the searches.
     """
     good = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     key = F.when(F.coalesce(good, F.lit(False)), F.struct(F.xxhash64("label", "embedding").alias("a"), F.xxhash64("embedding", F.lit(7), "label").alias("b")))
@@ -327,7 +350,11 @@ def embedding_components(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         sized.join(count, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")))
         .withColumn("home", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .select(F.xxhash64("label", "dim", "part").alias("shard"), (F.col("part") == F.col("home")).alias("planted"), "node", "copies", "embedding")
+        .withColumn("planted", F.col("part") == F.col("home"))
+        .withColumn("tasks", F.ceil(F.col("shards") / SEARCHES).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tasks")).cast("int"))
+        .withColumn("task", F.explode(F.when(F.col("planted"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array("own"))))
+        .select(F.xxhash64("label", "dim", "part", "task").alias("shard"), "planted", (F.col("task") == 0).alias("lead"), "node", "copies", "embedding")
     )
     found = materialize(
         dealt.repartition("shard").sortWithinPartitions("shard", F.desc("planted"), "node").mapInArrow(_search(least), "node long, n_links long, to long"),

@@ -90,23 +90,29 @@ def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _ends(docs: DataFrame, weights: tuple[float, ...], cap: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size) of all rows, written once, and a row a source: own, source_size, target, copies, cut."""
+    """(doc_id, source, size, h) of all rows, written once, and a row a source: own, source_size, target, copies, cut."""
     slim = materialize(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size")
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"),
+            row_hash("").alias("h"),
         ),
         "mix-sizes",
     )
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(capped_targets(totals, weights, cap), "mix-targets").withColumnRenamed("source", "own")
     ranked = slim.join(targets.select("own", "n_rank"), F.col("source").eqNullSafe(F.col("own")))
-    ends = thresholds(ranked.select("n_rank", F.xxhash64("doc_id").alias("h"), "size"), targets)
+    ends = thresholds(ranked.select("n_rank", "h", "size"), targets)
     return slim, targets.join(ends, "n_rank", "left")
 
 
-def _copies(doc_id: Column, copies: Column, cut: Column, cap: int) -> Column:
+def row_hash(prefix: str) -> Column:
+    """The hash that orders rows: of doc_id, text and source, so that only equal rows go together."""
+    return F.xxhash64(F.col(f"{prefix}doc_id").cast("long"), f"{prefix}text", f"{prefix}source")
+
+
+def _copies(h: Column, copies: Column, cut: Column, cap: int) -> Column:
     """How often a document is taken."""
-    lead = F.shiftrightunsigned(F.xxhash64(doc_id.cast("long")), 64 - LEVEL_BITS * LEVELS)
+    lead = F.shiftrightunsigned(h, 64 - LEVEL_BITS * LEVELS)
     return F.least(F.coalesce(copies, F.lit(0)) + F.coalesce((lead < cut).cast("long"), F.lit(0)), F.lit(cap)).cast("int")
 
 
@@ -115,14 +121,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int
 
     size is the number of words, source_size and target are those of the row's source, taken is size times the number
     of copies the mix takes, 0 to ``cap``. Null text has size 0; a null source is a source of its own, last in order;
-    the hash is of doc_id alone, so a rerun on any partitioning agrees and rows that repeat a doc_id go together (null
-    ids too). A source of size 0 has target 0. Other columns are ignored; an empty table gives no rows.
+    the hash is of doc_id, text and source, so a rerun on any partitioning agrees and only rows that are equal in all
+    three go together. A source of size 0 has target 0. Other columns are ignored; an empty table gives no rows.
 
-    One pass counts words and writes (doc_id, source, size); histograms and the final filter read that narrow table.
+    One pass counts words and writes (doc_id, source, size, h); histograms and the final filter read that narrow table.
     """
     slim, ends = _ends(docs, weights, cap)
     return slim.join(ends, F.col("source").eqNullSafe(F.col("own"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("doc_id"), F.col("copies"), F.col("cut"), cap)).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("h"), F.col("copies"), F.col("cut"), cap)).alias("taken")
     )
 
 
@@ -134,7 +140,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     with scratch():
         ends = materialize(_ends(docs, weights, cap)[1].select("own", "copies", "cut"), "mix-ends", keep=True).toDF("mix_source", "mix_copies", "mix_cut")
     joined = docs.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.mix_source")))
-    times = _copies(F.col("d.doc_id"), F.col("e.mix_copies"), F.col("e.mix_cut"), cap)
+    times = _copies(row_hash("d."), F.col("e.mix_copies"), F.col("e.mix_cut"), cap)
     row = F.struct(*[F.col(f"d.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
     taken = joined.where(times > 0).select(row, F.explode(F.sequence(F.lit(1), times)))
     return taken.select("row.*").toDF(*docs.columns)
