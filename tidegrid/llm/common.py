@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Spark's setting for shuffle files that go when the query ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: For each open scratch(), the tables that go with it.
 _SCOPES: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
@@ -40,7 +42,12 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy", keep: boo
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.tidegrid_path = path  # for discard()
     scopes = _SCOPES.get()
