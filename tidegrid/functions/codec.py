@@ -6,6 +6,7 @@ bits, so a 160-bit id is exact in plain arithmetic that Spark compiles. Every de
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -77,27 +78,38 @@ def radix_encode(value: Column, radix: int, width: int, alphabet: str = BASE36)
     return F.when(fits, F.concat(F.lit(pad), *places))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def text_time_decode(value: Column, spec: TextTime, refuse: bool = False) -> Column:
     """Microseconds of a text id. The digits are folded into limbs; the low bits are dropped; null if it isn't shaped."""
-    limbs: dict[int, Column] = {}
-    for low in range(0, spec.width, spec.chunk):  # from the last digit on
-        n = min(spec.chunk, spec.width - low)
+    starts, numbers = range(0, spec.width, spec.chunk), []
+    for low in starts:  # from the last digit on
         number = F.lit(0).cast("long")
-        for k in range(n):
+        for k in range(min(spec.chunk, spec.width - low)):
             place = len(spec.prefix) + spec.width - low - k
             number = number + _digit_of(F.substring(value, place, 1), spec.digits) * spec.radix**k
-        for half, scale in ((number.bitwiseAND(F.lit((1 << 27) - 1)), spec.radix**low), (F.shiftright(number, 27), spec.radix**low << 27)):
-            for at in range(-(-scale.bit_length() // 32)):
-                part = half * (scale >> 32 * at & (1 << 32) - 1)
-                limbs[at] = limbs[at] + part if at in limbs else part
-    skip, rest = divmod(spec.discard_bits, 32)
-    carry = F.lit(0).cast("long")
-    for at in range(skip):
-        carry = F.shiftright(limbs.get(at, F.lit(0).cast("long")) + carry, 32)
-    for at in sorted(k for k in limbs if skip <= k < skip + 2):
-        carry = carry + F.shiftleft(limbs[at], 32 * (at - skip))
-    units = F.shiftright(carry, rest)
-    native = units * spec.unit_us + spec.epoch_us
+        numbers.append(number)
+
+    def units(held: Column) -> Column:
+        limbs: dict[int, Column] = {}
+        for k, low in enumerate(starts):
+            low_half, high_half = held[k].bitwiseAND(F.lit((1 << 27) - 1)), F.shiftright(held[k], 27)
+            for half, scale in ((low_half, spec.radix**low), (high_half, spec.radix**low << 27)):
+                for at in range(-(-scale.bit_length() // 32)):
+                    part = half * (scale >> 32 * at & (1 << 32) - 1)
+                    limbs[at] = limbs[at] + part if at in limbs else part
+        skip, rest = divmod(spec.discard_bits, 32)
+        carry = F.lit(0).cast("long")
+        for at in range(skip):
+            carry = F.shiftright(limbs.get(at, F.lit(0).cast("long")) + carry, 32)
+        for at in sorted(k for k in limbs if skip <= k < skip + 2):
+            carry = carry + F.shiftleft(limbs[at], 32 * (at - skip))
+        return F.shiftright(carry, rest)
+
+    native = _let(F.array(*numbers), units) * spec.unit_us + spec.epoch_us
     wrong = F.raise_error(F.concat(F.lit("not of the declared shape: "), F.coalesce(value, F.lit("null")))) if refuse else F.lit(None).cast("long")
     return F.when(shaped(value, spec), native).otherwise(wrong)
 
@@ -107,15 +119,25 @@ def text_time_encode(native: Column, spec: TextTime) -> Column:
     units = F.call_function("div", native - spec.epoch_us, F.lit(spec.unit_us))
     limit = spec.radix**spec.width >> spec.discard_bits
     if not spec.discard_bits:
-        return F.when(units < min(limit, (1 << 63) - 1), F.concat(F.lit(spec.prefix), radix_encode(units, spec.radix, spec.width, spec.alphabet)))
-    # units times 2 ** discard_bits, chunk by chunk from the last digits on
-    base, scale, carry, parts = spec.radix**spec.chunk, 1 << spec.discard_bits, F.lit(0).cast("decimal(20,0)"), []
-    for low in range(0, spec.width, spec.chunk):
-        total = units.cast("decimal(19,0)") * F.lit(str(scale % base)).cast("decimal(18,0)") + carry
-        parts.append(radix_encode(F.pmod(total, F.lit(base).cast("decimal(20,0)")).cast("long"), spec.radix, min(spec.chunk, spec.width - low), spec.alphabet))
-        carry = F.call_function("div", total, F.lit(base).cast("decimal(20,0)")).cast("decimal(20,0)")
-        scale //= base
-    return F.when((units >= 0) & (units < min(limit, 1 << 62)), F.concat(F.lit(spec.prefix), *reversed(parts)))
+        short = lambda u: F.when(u < min(limit, (1 << 63) - 1), F.concat(F.lit(spec.prefix), radix_encode(u, spec.radix, spec.width, spec.alphabet)))
+        return _let(units, short)
+    base = F.lit(spec.radix**spec.chunk).cast("decimal(20,0)")
+
+    def digits(u: Column, low: int, scale: int, carry: Column) -> Column:
+        """The id's digits but for the last ``low``: units times what is left of 2 ** discard_bits, chunk by chunk."""
+        if low >= spec.width:
+            return F.lit("")
+        total = u.cast("decimal(19,0)") * F.lit(str(scale % spec.radix**spec.chunk)).cast("decimal(18,0)") + carry
+
+        def both(t: Column) -> Column:
+            own = _let(F.pmod(t, base).cast("long"), lambda n: radix_encode(n, spec.radix, min(spec.chunk, spec.width - low), spec.alphabet))
+            ahead = digits(u, low + spec.chunk, scale // spec.radix**spec.chunk, F.call_function("div", t, base).cast("decimal(20,0)"))
+            return F.concat(ahead, own)
+
+        return _let(total, both)
+
+    whole = lambda u: F.when((u >= 0) & (u < min(limit, 1 << 62)), F.concat(F.lit(spec.prefix), digits(u, 0, 1 << spec.discard_bits, F.lit(0).cast("decimal(20,0)"))))
+    return _let(units, whole)
 
 
 # --- UUIDv7 ---

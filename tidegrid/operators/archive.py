@@ -6,31 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chunk_plan(rows: DataFrame, native: Column, part: Column, budget: int, width: Column) -> DataFrame:
+def _cell(native: Column, width: int) -> Column:
+    return F.call_function("div", native - F.pmod(native, F.lit(width)), F.lit(width))
+
+
+def chunk_plan(rows: DataFrame, native: Column, part: Column, budget: int, width: Column, cell: int) -> DataFrame:
     """(part, chunk, lo, hi, n_rows, n_bytes): chunks of about ``budget`` bytes, ties of a native value never split.
 
-    Bytes are summed for each distinct value first, in tasks that combine before they shuffle; a running sum over these
-    groups then cuts at multiples of the budget: value v belongs to the chunk of the bytes before it. One pass over the
-    data, no walk from chunk to chunk, and the same cut on every run.
+    Bytes are summed for each distinct value first, in tasks that combine before they shuffle; value v belongs to the
+    chunk of the bytes before it. Those are the bytes of earlier cells of ``cell`` native units, one row each, and of
+    the values before v in its own cell, so a partition of any size is many windows. One pass, no walk from chunk to
+    chunk, and the same cut on every run and for any ``cell``.
     """
     values = rows.select(part.alias("part"), native.alias("native"), width.alias("width"))
     values = values.groupBy("part", "native").agg(F.count(F.lit(1)).alias("n"), F.sum("width").alias("bytes"))
-    before = Window.partitionBy("part").orderBy("native").rowsBetween(Window.unboundedPreceding, -1)
-    cut = values.withColumn("chunk", F.call_function("div", F.coalesce(F.sum("bytes").over(before), F.lit(0)), F.lit(budget)))
+    values = values.withColumn("cell", _cell(F.col("native"), cell))
+    cells = values.groupBy("part", "cell").agg(F.sum("bytes").alias("held"))
+    ahead = F.coalesce(F.sum("held").over(Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("part", "cell").orderBy("native").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = values.withColumn("inside", inside).join(cells.select("part", "cell", ahead.alias("ahead")), ["part", "cell"])
+    cut = own.withColumn("chunk", F.call_function("div", F.col("ahead") + F.col("inside"), F.lit(budget)))
     chunks = cut.groupBy("part", "chunk").agg(F.min("native").alias("lo"), F.max("native").alias("last"), F.sum("n").alias("n_rows"), F.sum("bytes").alias("n_bytes"))
     following = F.lead("lo").over(Window.partitionBy("part").orderBy("lo"))
     number = F.row_number().over(Window.partitionBy("part").orderBy("lo"))
     return chunks.select("part", number.alias("chunk"), "lo", F.coalesce(following, F.col("last") + 1).alias("hi"), "n_rows", "n_bytes")
 
 
-def next_chunk(rows: DataFrame, native: Column, covered_hi: int, hi: int, n: int) -> DataFrame:
-    """(lo, hi, n_rows) of the next chunk past what the ledger covers: the n-th row's value and all its ties."""
-    left = rows.where((native >= F.lit(covered_hi)) & (native < F.lit(hi))).select(native.alias("native"))
-    counts = left.groupBy("native").agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("native")))
-    inside = upto.where(F.col("upto") - F.col("c") < n)
-    after = upto.where(F.col("upto") - F.col("c") >= n).agg(F.min("native").alias("after"))
-    return inside.agg(F.sum("c").alias("n_rows")).crossJoin(after).select(F.lit(covered_hi).cast("long").alias("lo"), F.coalesce("after", F.lit(hi).cast("long")).alias("hi"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+def next_chunk(rows: DataFrame, native: Column, covered_hi: int, hi: int, n: int, cell: int = 1 << 20) -> DataFrame:
+    """(lo, hi, n_rows) of the next chunk past what the ledger covers: the n-th row's value and all its ties.
+
+    Rows are counted by cell of ``cell`` native units first; only the cell that holds the n-th row is opened.
+    """
+    left = rows.where((native >= F.lit(covered_hi)) & (native < F.lit(hi))).select(native.alias("native")).withColumn("cell", _cell(F.col("native"), cell))
+    cells = left.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min("native").alias("least"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("before", before)  # one row a cell
+    early, late = F.col("before") < n, F.col("before") >= n
+    edge = cells.agg(F.max(F.when(early, F.col("cell"))).alias("edge"), F.max(F.when(early, F.col("before"))).alias("before"), F.min(F.when(late, F.col("least"))).alias("following"))
+    values = left.join(edge, F.col("cell") == F.col("edge")).groupBy("edge", "native").agg(F.count(F.lit(1)).alias("c"), F.first("before").alias("before"))
+    upto = F.col("before") + F.coalesce(F.sum("c").over(Window.partitionBy("edge").orderBy("native").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = values.withColumn("ahead", upto)
+    taken = values.agg(F.sum(F.when(F.col("ahead") < n, F.col("c"))).alias("taken"), F.min(F.when(F.col("ahead") >= n, F.col("native"))).alias("after"))
+    return edge.crossJoin(taken).select(  # one row each
+        F.lit(covered_hi).cast("long").alias("lo"), F.coalesce("after", "following", F.lit(hi).cast("long")).alias("hi"),
+        (F.coalesce("before", F.lit(0)) + F.coalesce("taken", F.lit(0))).alias("n_rows"),
+    )
 
 
 def coverage(registry: DataFrame, ledger: DataFrame) -> DataFrame:

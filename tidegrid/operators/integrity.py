@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .archive import coverage
+
 
 def lost_rows(expected: DataFrame, live: DataFrame, archived: DataFrame, keys: list[str]) -> DataFrame:
     """Expected rows that are neither live nor archived."""
@@ -22,9 +24,11 @@ def multiset(rows: DataFrame) -> DataFrame:
 
 
 def uncovered_drops(dropped: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Dropped partitions (lo, hi) that the ledger's chunks don't cover up to hi."""
-    top = ledger.groupBy(F.col("part").alias("p")).agg(F.max("hi").alias("covered_hi"))
-    return dropped.join(top, F.col("lo") == F.col("p"), "left").where(F.coalesce(F.col("covered_hi") < F.col("hi"), F.lit(True))).select("lo", "hi")
+    """Dropped partitions (lo, hi) that the ledger's chunks don't cover from lo to hi without a hole.
+
+    Retired chunks count: they are what the drop itself has marked.
+    """
+    return coverage(dropped, ledger.withColumn("retired", F.lit(False))).where("NOT covered").select("lo", "hi")
 
 
 def clobbered_keys(ledger: DataFrame) -> DataFrame:

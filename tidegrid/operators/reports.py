@@ -36,12 +36,24 @@ def monotonic(rows: DataFrame, key: str, time: str, width: int) -> DataFrame:
         F.count("before").alias("pairs"), F.count_if(F.col("t") >= F.col("before")).alias("in_order"),
         F.min_by("t", F.struct("k", "t")).alias("first"), F.max_by("t", F.struct("k", "t")).alias("last"),
     )
-    last = F.lag("last").over(Window.orderBy("part"))
-    joined = inside.withColumn("ahead", last)
-    total = joined.agg(F.sum(F.col("pairs") + F.col("ahead").isNotNull().cast("long")).alias("pairs"), F.sum(F.col("in_order") + F.coalesce((F.col("first") >= F.col("ahead")).cast("long"), F.lit(0))).alias("in_order"))
+    each = inside
+    for _ in range(2):  # ranges of ranges, so that the last window has one row for width ** 3 keys
+        wider = F.call_function("div", F.col("part") - F.pmod(F.col("part"), F.lit(width)), F.lit(width))
+        each = _joined(each.withColumn("wider", wider), Window.partitionBy("wider").orderBy("part")).groupBy("wider").agg(
+            F.sum("pairs").alias("pairs"), F.sum("in_order").alias("in_order"), F.min_by("first", "part").alias("first"), F.max_by("last", "part").alias("last")
+        ).withColumnRenamed("wider", "part")
+    total = _joined(each, Window.orderBy("part")).agg(F.sum("pairs").alias("pairs"), F.sum("in_order").alias("in_order"))
     return total.select(F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("in_order", F.lit(0)).alias("in_order"), (F.col("in_order") / F.nullif(F.col("pairs"), F.lit(0))).alias("fraction"))
 
 
+def _joined(ranges: DataFrame, window) -> DataFrame:
+    """Ranges whose counts also hold the pair of their first row and the last row of the range before."""
+    ahead = ranges.withColumn("ahead", F.lag("last").over(window))
+    more = F.col("pairs") + F.when(F.col("first").isNotNull() & F.col("ahead").isNotNull(), 1).otherwise(0)
+    right = F.col("in_order") + F.coalesce((F.col("first") >= F.col("ahead")).cast("long"), F.lit(0))
+    return ahead.withColumn("pairs", more).withColumn("in_order", right)
+
+
 def fk_orphans(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]], full: bool = False) -> DataFrame:
     """Child rows that refer to no parent. SIMPLE: a null in the key refers to nothing and is no orphan. FULL: all null
     is none, partly null is one."""
@@ -67,8 +79,8 @@ def status(registry: DataFrame, log: DataFrame) -> DataFrame:
     """(parent, n_partitions, n_coarse, newest_bound, n_failures, n_skips): failures and skips since the last success."""
     parts = registry.groupBy("parent").agg(F.count(F.lit(1)).alias("n_partitions"), F.count_if("coarse").alias("n_coarse"), F.max("hi").alias("newest_bound"))
     bad = F.col("action").startswith("fail_") | F.col("action").startswith("skip_")
-    good = F.max(F.when(~bad, F.col("ts"))).over(Window.partitionBy("parent"))
-    since = log.withColumn("good", good).where(F.col("good").isNull() | (F.col("ts") > F.col("good")))
+    good = log.groupBy("parent").agg(F.max(F.when(~bad, F.col("ts"))).alias("good"))
+    since = log.join(good, "parent").where(F.col("good").isNull() | (F.col("ts") > F.col("good")))
     counts = since.groupBy("parent").agg(F.count_if(F.col("action").startswith("fail_")).alias("n_failures"), F.count_if(F.col("action").startswith("skip_")).alias("n_skips"))
     return parts.join(counts, "parent", "left").na.fill(0, ["n_failures", "n_skips"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, digest
 from ..functions.grid import DAY, HOUR, WEEK, Grid, fraction, label, micros
-from ..operators import archive, copying, integrity, reports, routing
+from ..operators import archive, copying, integrity, lifecycle, reports, routing
 from ..sources.tables import table
 from . import registry as plans
 
@@ -155,12 +155,15 @@ def frontier_id(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT max(event_id) // 1000 * 1000 + 1000 * (k + 1) AS lo, max(event_id) // 1000 * 1000 + 1000 * (k + 2) AS hi FROM events, range(30) t(k) GROUP BY k")
 def obtain_plan(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d)
-    top = plans.frontier(rows, F.col("event_id"))
     registry = counted(rows, F.col("event_id"), THOUSANDS).select(F.col("part_lo").alias("lo"), (F.col("part_lo") + 1000).alias("hi"))
-    want = spark.range(31).crossJoin(F.broadcast(top))  # one row of frontier
-    want = want.select(THOUSANDS.next(THOUSANDS.floor(F.col("frontier")), F.col("id")).alias("lo"))
-    want = want.select("lo", THOUSANDS.next(F.col("lo")).alias("hi"))
-    return plans.overlapping(want, registry.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "left_anti")
+    return plans.obtain(registry, THOUSANDS, plans.frontier(rows, F.col("event_id")), 30)
+
+
+@query("""SELECT strftime(top + INTERVAL (k) MONTH, '%Y-%m-%d %H:%M:%S') AS lo, strftime(top + INTERVAL (k + 1) MONTH, '%Y-%m-%d %H:%M:%S') AS hi
+FROM (SELECT max(date_trunc('month', o_orderdate)) + INTERVAL 1 MONTH AS top FROM orders) t, range(1200) r(k) WHERE top + INTERVAL (k) MONTH <= TIMESTAMP '2031-03-12 00:00:00'""")
+def extend_plan_months(spark: SparkSession, d: str) -> DataFrame:
+    cells = plans.extend_to(monthly(spark, d), MONTHS, 1_931_040_000_000_000)  # 2031-03-12
+    return cells.select(stamp(F.col("lo")).alias("lo"), stamp(F.col("hi")).alias("hi"))
 
 
 @query("SELECT top + 1000 * k AS lo, top + 1000 * (k + 1) AS hi FROM (SELECT max(event_id) // 1000 * 1000 + 1000 AS top FROM events) t, range(2000) r(k) WHERE top + 1000 * k <= 1000000")
@@ -230,38 +233,53 @@ def overlap_join(spark: SparkSession, d: str) -> DataFrame:
 # --- splitting and copying ---
 
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM events WHERE ts < TIMESTAMP '2024-01-08' GROUP BY 1")
+def event_span(spark: SparkSession, d: str, native: Column, grid: Grid) -> tuple[int, int]:
+    """Bounds of the one partition that events become."""
+    row = plans.transmute_bounds(events(spark, d), native, grid).first()
+    return row.lo, row.hi
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM events GROUP BY 1")
 def regrain_counts(spark: SparkSession, d: str) -> DataFrame:
-    start = 1_704_067_200_000_000
-    fine = copying.regrain(events(spark, d), event_time(), start, start + 7 * DAY, DAYS)
+    fine = copying.regrain(events(spark, d), event_time(), *event_span(spark, d, event_time(), WEEKS), DAYS)
     return fine.groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows")).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
 
 
-@query("SELECT greatest(event_id // 1000 * 1000, 2500) AS part_lo, count(*) AS n_rows FROM events WHERE event_id >= 2500 AND event_id < 7250 GROUP BY 1")
+CLAMP_SQL = "WITH b AS (SELECT min(event_id) + (max(event_id) - min(event_id)) // 7 AS lo, max(event_id) AS hi FROM events) "
+
+
+def clamped(spark: SparkSession, d: str) -> tuple[int, int]:
+    """A coarse range that starts and ends off the grid, over six sevenths of the ids."""
+    row = events(spark, d).agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    return row.a + (row.b - row.a) // 7, row.b
+
+
+@query(CLAMP_SQL + "SELECT greatest(event_id // 1000 * 1000, lo) AS part_lo, count(*) AS n_rows FROM events, b WHERE event_id >= lo AND event_id < hi GROUP BY 1")
 def regrain_clamped(spark: SparkSession, d: str) -> DataFrame:
-    fine = copying.regrain(events(spark, d), F.col("event_id"), 2500, 7250, THOUSANDS)
+    fine = copying.regrain(events(spark, d), F.col("event_id"), *clamped(spark, d), THOUSANDS)
     return fine.groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("SELECT greatest(2500, 1000 * k) AS piece_lo, least(7250, 1000 * (k + 1)) AS piece_hi, count(event_id) AS n_rows FROM range(2, 8) t(k) LEFT JOIN events ON event_id >= greatest(2500, 1000 * k) AND event_id < least(7250, 1000 * (k + 1)) GROUP BY 1, 2")
+@query(CLAMP_SQL + """, p AS (SELECT greatest(lo, 1000 * k) AS piece_lo, least(hi, 1000 * (k + 1)) AS piece_hi FROM b, range(100000) t(k) WHERE 1000 * (k + 1) > lo AND 1000 * k < hi)
+SELECT piece_lo, piece_hi, count(event_id) AS n_rows FROM p LEFT JOIN events ON event_id >= piece_lo AND event_id < piece_hi GROUP BY 1, 2""")
 def regrain_pieces(spark: SparkSession, d: str) -> DataFrame:
-    cut = plans.pieces(spark.range(1).select(F.lit(2500).cast("long").alias("lo"), F.lit(7250).cast("long").alias("hi")), THOUSANDS)
-    rows = copying.regrain(events(spark, d), F.col("event_id"), 2500, 7250, THOUSANDS).groupBy("part_lo").agg(F.count(F.lit(1)).alias("n"))
+    lo, hi = clamped(spark, d)
+    cut = plans.pieces(spark.range(1).select(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")), THOUSANDS)
+    rows = copying.regrain(events(spark, d), F.col("event_id"), lo, hi, THOUSANDS).groupBy("part_lo").agg(F.count(F.lit(1)).alias("n"))
     return cut.join(rows, F.col("piece_lo") == F.col("part_lo"), "left").select("piece_lo", "piece_hi", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM events WHERE ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1")
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS part_lo, count(*) AS n_rows FROM events WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 3 DAY FROM events) GROUP BY 1")
 def regrain_aged_skip(spark: SparkSession, d: str) -> DataFrame:
-    start = 1_704_067_200_000_000
-    fine = copying.regrain(events(spark, d), event_time(), start, start + 7 * DAY, DAYS, boundary=start + 3 * DAY)
+    lo, hi = event_span(spark, d, event_time(), DAYS)
+    fine = copying.regrain(events(spark, d), event_time(), lo, hi, DAYS, boundary=lo + 3 * DAY)
     return fine.groupBy("part_lo").agg(F.count(F.lit(1)).alias("n_rows")).select(stamp(F.col("part_lo")).alias("part_lo"), "n_rows")
 
 
-@query("SELECT count(*) AS source_rows, count(*) AS dest_rows, true AS equal FROM events WHERE event_id >= 2500 AND event_id < 7250")
+@query("SELECT count(*) AS source_rows, count(*) AS dest_rows, true AS equal FROM events")
 def regrain_conservation(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d)
-    source = rows.where("event_id >= 2500 AND event_id < 7250")
-    return copying.conserved(source, copying.regrain(rows, F.col("event_id"), 2500, 7250, THOUSANDS).drop("part_lo"))
+    return copying.conserved(rows, copying.regrain(rows, F.col("event_id"), *event_span(spark, d, F.col("event_id"), THOUSANDS), TENS).drop("part_lo"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN value * 2 ELSE value END AS value FROM events WHERE event_id % 11 <> 0 OR event_id % 7 <> 0")
@@ -302,10 +320,10 @@ def unmatched_rows(spark: SparkSession, d: str) -> DataFrame:
     return copying.unmatched(rows, rows.where("l_orderkey % 50 <> 0"))
 
 
-@query("SELECT event_id FROM events WHERE epoch_us(ts) < epoch_us(TIMESTAMP '2024-01-15') AND event_id % 10 = 0")
+@query("SELECT event_id FROM events WHERE epoch_us(ts) < epoch_us(TIMESTAMP '2024-01-15')")
 def backdated_rows(spark: SparkSession, d: str) -> DataFrame:
     edge = plans.retain_boundary(DAYS, F.lit(NOW), keep_days=16)
-    return events(spark, d).where((F.col("event_id") % 10 == 0) & (event_time() < edge)).select("event_id")
+    return events(spark, d).where(event_time() < edge).select("event_id")
 
 
 # --- archive ---
@@ -313,7 +331,7 @@ def backdated_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = orders(spark, d)
-    return archive.chunk_plan(rows, order_time(), F.year("o_orderdate"), 4000, F.length("o_orderstatus") + F.length("o_orderpriority") + 24)
+    return archive.chunk_plan(rows, order_time(), F.year("o_orderdate"), 4000, F.length("o_orderstatus") + F.length("o_orderpriority") + 24, 30 * DAY)
 
 
 CHUNK_SQL = """WITH v AS (SELECT year(o_orderdate) AS part, epoch_us(o_orderdate) AS native, count(*) AS n, sum(length(o_orderstatus) + length(o_orderpriority) + 24) AS bytes FROM orders GROUP BY 1, 2),
@@ -563,7 +581,7 @@ def row_states(spark: SparkSession, d: str) -> DataFrame:
 def drop_only_covered(spark: SparkSession, d: str) -> DataFrame:
     registry = years(spark, d)
     starts = registry.select("part", F.col("lo").alias("start"))
-    done = ledger(spark, d).join(starts, "part").select(F.col("start").alias("part"), "hi")
+    done = ledger(spark, d).join(starts, "part").select(F.col("start").alias("part"), "lo", "hi")
     return integrity.uncovered_drops(registry.select("lo", "hi"), done).join(registry.select("part", "lo"), "lo").select("part")
 
 
@@ -572,5 +590,91 @@ def archive_no_clobber(spark: SparkSession, d: str) -> DataFrame:
     return integrity.clobbered_keys(chunks(spark, d).withColumn("object_key", F.col("part").cast("string")))
 
 
+# --- turns ---
+
+WIDTH = "length(o_orderstatus) + length(o_orderpriority) + 24"
+
+
+@query(CHUNK_SQL.replace("4000 AS k", "200000 AS k") + """, y AS (SELECT year(o_orderdate) AS part, epoch_us(min(o_orderdate)) AS start, epoch_us(max(o_orderdate)) + 1 AS stop FROM orders GROUP BY 1)
+SELECT start AS part, start AS lo, CASE WHEN (SELECT count(*) FROM plan q WHERE q.part = y.part) > 1 THEN hi ELSE stop END::BIGINT AS hi, n_rows::BIGINT AS rows_archived, 'orders_' || start AS object_key, false AS retired
+FROM plan p JOIN y USING (part) WHERE chunk = 1 AND part <> 1995""")
+def archive_turn(spark: SparkSession, d: str) -> DataFrame:
+    """The first chunk of every year but the one that still takes writes."""
+    registry = years(spark, d).withColumn("blocked", F.col("part") != 1995)
+    empty = spark.createDataFrame([], lifecycle.LEDGER)
+    keep = lambda chunk, lo, hi: (hi, chunk.count(), f"orders_{lo}")
+    return lifecycle.archive_step(orders(spark, d), order_time(), registry, empty, keep, 200_000, F.expr(WIDTH), 30 * DAY, batch=20)
+
+
+@query("""WITH y AS (SELECT year(o_orderdate) AS part, epoch_us(min(o_orderdate)) AS lo, epoch_us(max(o_orderdate)) + 1 AS hi FROM orders GROUP BY 1)
+SELECT lo, hi FROM y WHERE part % 2 = 0 AND hi <= (SELECT max(hi) FROM y) - 86400000000""")
+def retire_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Years that retention and whole coverage allow to drop: chunks of even years only are in the ledger."""
+    registry = years(spark, d)
+    done = chunks(spark, d).where("part % 2 = 0").join(registry.select("part", F.col("lo").alias("start")), "part")
+    done = done.select(F.col("start").alias("part"), "lo", "hi", F.lit(False).alias("retired"))
+    top = registry.agg(F.max("hi").alias("top")).first().top
+    return lifecycle.retire(registry, done, F.lit(top - DAY))
+
+
+@query("""WITH b AS (SELECT date_trunc('day', min(ts)) AS a, date_trunc('day', max(ts)) + INTERVAL 1 DAY AS z FROM events),
+p AS (SELECT unnest(generate_series(a, z - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS lo FROM b), s AS (SELECT epoch_us(lo) AS piece_lo, epoch_us(lo) + 86400000000 AS piece_hi,
+CASE WHEN lo < (SELECT a + INTERVAL 5 DAY FROM b) THEN 'regrain_aged' ELSE 'regrain_copy' END AS action, CASE WHEN lo < (SELECT a + INTERVAL 5 DAY FROM b) THEN 0 ELSE (SELECT count(*) FROM events WHERE date_trunc('day', ts) = lo) END AS n_rows FROM p)
+SELECT * FROM s UNION ALL SELECT epoch_us(z), epoch_us(z), 'regrain_swap', (SELECT sum(n_rows) FROM s)::BIGINT FROM b""")
+def regrain_turns(spark: SparkSession, d: str) -> DataFrame:
+    lo, hi = event_span(spark, d, event_time(), DAYS)
+    return lifecycle.regrain_steps(events(spark, d), event_time(), DAYS, lo, hi, lo + 5 * DAY)
+
+
+def parents(spark: SparkSession) -> DataFrame:
+    """Settings of eight tables that share the event registry; the last one is gone."""
+    p = F.col("id")
+    return spark.range(8).select(
+        p.alias("parent"), F.lit("time").alias("control_kind"), F.lit("1 day").alias("partition_step"), F.lit(30).alias("obtain"), F.when(p % 2 == 0, "16 days").alias("retain"), (p % 3 == 0).alias("paused"),
+        F.when(p % 2 == 1, "1 day").alias("regrain_to"), (p == 7).alias("parent_missing"), F.when(p % 2 == 0, F.lit(NOW - 16 * DAY)).alias("boundary"),
+    )
+
+
+TURN_LOG = "SELECT user_id % 8 AS parent, ts, user_id // 8 % 5 AS lo, ['skip_archive', 'fail_retain_drop', 'archive_chunk', 'retain_drop', 'regrain_copy', 'skip_archive', 'skip_archive'][event_id % 7 + 1] AS action FROM events"
+
+
+@query(MIXED_SQL + ", l AS (" + TURN_LOG + """), d AS (SELECT parent, max(ts) FILTER (action = 'retain_drop') AS was FROM l GROUP BY 1), a AS (SELECT parent, lo, max(ts) FILTER (action = 'archive_chunk') AS was FROM l GROUP BY 1, 2),
+k AS (SELECT l.parent, l.lo, count(*) AS n FROM l JOIN a ON a.parent = l.parent AND a.lo = l.lo WHERE action = 'skip_archive' AND (a.was IS NULL OR ts > a.was) GROUP BY 1, 2)
+SELECT * REPLACE (coalesce(retain, 'none') AS retain, coalesce(regrain_to, 'none') AS regrain_to, coalesce(newest_bound, -1) AS newest_bound, coalesce(retain_backlog, -1) AS retain_backlog) FROM (SELECT p.parent, 'time' AS control_kind, '1 day' AS partition_step, 30 AS obtain, CASE WHEN p.parent % 2 = 0 THEN '16 days' END AS retain, p.parent % 3 = 0 AS paused,
+  CASE WHEN p.parent = 7 THEN 0 ELSE (SELECT count(*) FROM reg) END AS n_partitions, CASE WHEN p.parent = 7 THEN 0 ELSE 1 END::BIGINT AS coarse_partitions, 0::BIGINT AS inflight_partitions,
+  CASE WHEN p.parent <> 7 THEN (SELECT epoch_us(max(hi)) FROM reg) END AS newest_bound, CASE WHEN p.parent = 2 THEN 1 ELSE 0 END::BIGINT AS fks_suspended, CASE WHEN p.parent = 4 THEN 1 ELSE 0 END::BIGINT AS fks_unvalidated,
+  p.parent <> 7 AS history_unregrained, (SELECT count(*) FROM l JOIN d USING (parent) WHERE l.parent = p.parent AND action = 'fail_retain_drop' AND (was IS NULL OR ts > was)) AS retain_drop_failures,
+  CASE WHEN p.parent % 2 = 0 THEN (SELECT count(*) FROM reg WHERE epoch_us(hi) <= 1706702400000000 - 16 * 86400000000) END AS retain_backlog, 0::BIGINT AS retain_detaching, p.parent = 7 AS parent_missing,
+  CASE WHEN p.parent % 2 = 1 THEN '1 day' END AS regrain_to, coalesce((SELECT max(n) FROM k WHERE k.parent = p.parent), 0) AS archive_skips FROM range(8) p(parent))""")
+def status_full(spark: SparkSession, d: str) -> DataFrame:
+    registry = plans.marked(mixed(spark, d), DAYS, F.lit(NOW)).withColumn("parent", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))).withColumn("state", F.lit("attached"))
+    names = F.array(*map(F.lit, ("skip_archive", "fail_retain_drop", "archive_chunk", "retain_drop", "regrain_copy", "skip_archive", "skip_archive")))
+    turns = events(spark, d).select((F.col("user_id") % 8).alias("parent"), "ts", F.call_function("div", F.col("user_id"), F.lit(8)).alias("u"), F.get(names, (F.col("event_id") % 7).cast("int")).alias("action"))
+    keys = spark.range(8).select(F.col("id").alias("parent"), (F.col("id") == 2).alias("suspended"), (F.col("id") != 4).alias("validated"))
+    return lifecycle.status(parents(spark), registry, turns.withColumn("lo", F.col("u") % 5).drop("u"), keys).na.fill("none", ["retain", "regrain_to"]).na.fill(-1, ["newest_bound", "retain_backlog"])
+
+
+SPLIT = ("regrain_child", "regrain_cursor", "regrain_pct_range", "regrain_rows_copied", "regrain_elapsed", "regrain_eta")
+
+
+@query(MIXED_SQL + """, tip AS (SELECT epoch_us(max(ts)) AS f FROM events), c AS (SELECT epoch_us(lo) AS lo, epoch_us(hi) AS hi FROM reg WHERE hi > lo + INTERVAL 1 DAY)
+SELECT * REPLACE (coalesce(regrain_to, 'none') AS regrain_to, """ + ", ".join(f"coalesce({c}, -1) AS {c}" for c in SPLIT) + """) FROM (SELECT p.parent, 'time' AS control_kind, f AS frontier, (SELECT epoch_us(lo) FROM reg WHERE epoch_us(lo) <= f AND f < epoch_us(hi)) AS write_child, (SELECT epoch_us(hi) FROM reg WHERE epoch_us(lo) <= f AND f < epoch_us(hi)) AS write_ceiling,
+  (SELECT epoch_us(hi) FROM reg WHERE epoch_us(lo) <= f AND f < epoch_us(hi)) - f AS freeze_margin, (SELECT epoch_us(hi) FROM reg WHERE epoch_us(lo) <= f AND f < epoch_us(hi)) - f AS freeze_in, 1::BIGINT AS coarse_frozen,
+  CASE WHEN p.parent % 2 = 1 THEN '1 day' END AS regrain_to, CASE WHEN p.parent % 2 = 1 THEN c.lo END AS regrain_child, CASE WHEN p.parent % 2 = 1 THEN c.lo + 2 * 86400000000 END AS regrain_cursor, CASE WHEN p.parent % 2 = 1 THEN 2.0::DOUBLE / 7 END AS regrain_pct_range,
+  CASE WHEN p.parent % 2 = 1 THEN (SELECT coalesce(sum(event_id), 0)::BIGINT FROM events WHERE user_id % 8 = p.parent) END AS regrain_rows_copied, CASE WHEN p.parent % 2 = 1 THEN 7200000000 END AS regrain_elapsed,
+  CASE WHEN p.parent % 2 = 1 THEN 18000000000 END AS regrain_eta FROM range(8) p(parent), tip, c)""")
+def progress_full(spark: SparkSession, d: str) -> DataFrame:
+    registry = plans.marked(mixed(spark, d), DAYS, F.lit(NOW))
+    one = registry.where("coarse").select(F.col("lo").alias("coarse_lo")).crossJoin(plans.frontier(events(spark, d), event_time()))  # one row each
+    busy = F.col("parent") % 2 == 1
+    settings = parents(spark).select("parent", "control_kind", "regrain_to").crossJoin(one).select(  # a row a table
+        "parent", "control_kind", "regrain_to", "frontier", F.when(busy, F.col("coarse_lo")).alias("regrain_lo"), F.when(busy, F.col("coarse_lo") + 2 * DAY).alias("regrain_cursor"),
+        F.when(busy, F.lit(NOW - 2 * HOUR)).alias("regrain_started"),
+    )
+    every = registry.withColumn("parent", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    copied = events(spark, d).select((F.col("user_id") % 8).alias("parent"), F.col("event_id").alias("rows"))
+    return lifecycle.progress(settings, every, copied, NOW).na.fill("none", ["regrain_to"]).na.fill(-1, list(SPLIT))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_time_day(spark, sf_dir)

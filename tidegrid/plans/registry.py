@@ -6,7 +6,7 @@ caller keeps there. Plans are DataFrames too: cells to add, partitions past a ho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
@@ -32,10 +32,10 @@ def skewed(rows: DataFrame, native: Column, grid: Grid, now: int, hour: int = 3_
     return newest.select("newest", (F.col("newest") > grid.next(F.lit(now)) + hour if not grid.months else F.col("newest") > grid.next(grid.floor(F.lit(now))) + hour).alias("refused"))
 
 
-def cells(spark: SparkSession, grid: Grid, frontier_value: Column, count: int) -> DataFrame:
-    """(lo, hi) of the frontier's cell and the ``count`` after it."""
-    start = grid.floor(frontier_value)
-    steps = spark.range(count + 1).select(F.col("id").alias("k"))
+def cells(top: DataFrame, grid: Grid, count: int) -> DataFrame:
+    """(lo, hi) of the cell of ``top``, a frame of one frontier, and the ``count`` after it; none for a null frontier."""
+    start = grid.floor(F.col("frontier"))
+    steps = top.where(F.col("frontier").isNotNull()).select("frontier", F.explode(F.sequence(F.lit(0), F.lit(count))).alias("k"))
     return steps.select(grid.next(start, F.col("k")).alias("lo"), grid.next(start, F.col("k") + 1).alias("hi"))
 
 
@@ -44,21 +44,27 @@ def overlapping(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFr
     return left.join(right, (F.col("lo") < F.col("hi2")) & (F.col("lo2") < F.col("hi")), how)
 
 
-def obtain(registry: DataFrame, grid: Grid, frontier_value: Column, ahead: int) -> DataFrame:
-    """Cells to add so that ``ahead`` steps past the frontier exist: those that overlap no attached range."""
-    want = cells(registry.sparkSession, grid, frontier_value, ahead)
-    return overlapping(want, registry.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "left_anti")
+def obtain(registry: DataFrame, grid: Grid, top: DataFrame | Column, ahead: int) -> DataFrame:
+    """Cells to add so that ``ahead`` steps past the frontier exist: those that overlap no attached range.
+
+    The frontier is a frame of one, as frontier() gives, or a literal.
+    """
+    if isinstance(top, Column):
+        top = registry.sparkSession.range(1).select(top.alias("frontier"))
+    held = registry.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    return overlapping(cells(top, grid, ahead), held, "left_anti")
 
 
 def extend_to(registry: DataFrame, grid: Grid, value: int, most: int = 10_000) -> DataFrame:
-    """Cells from the registry's top up to the value's own; refused if they are more than ``most``."""
-    top = F.max("hi")
-    plan = registry.agg(top.alias("top")).select(
-        F.col("top"), F.greatest(F.lit(0), F.ceil((grid.next(grid.floor(F.lit(value))) - F.col("top")) / F.lit(grid.step)) if grid.step else F.lit(most)).cast("int").alias("n")
-    )
-    n = F.when(F.col("n") > most, F.raise_error(F.lit("more cells than allowed"))).otherwise(F.col("n")).cast("int")
-    steps = plan.withColumn("n", n).where("n > 0").select("top", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    return steps.select(grid.next(F.col("top"), F.col("k")).alias("lo"), grid.next(F.col("top"), F.col("k") + 1).alias("hi"))
+    """Cells from the registry's top up to the value's own; refused if they are more than ``most``.
+
+    No more than ``most`` + 1 cells are tried. An empty registry, or a value below its top, gives none.
+    """
+    tried = registry.agg(F.max("hi").alias("top")).where(F.col("top").isNotNull()).select("top", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("k"))
+    found = tried.select("k", grid.next(F.col("top"), F.col("k")).alias("lo"), grid.next(F.col("top"), F.col("k") + 1).alias("hi"))
+    found = found.where(F.col("lo") <= grid.floor(F.lit(value)))
+    many = F.when(F.col("k") >= most, F.raise_error(F.lit("more cells than allowed")).cast("long")).otherwise(F.col("lo"))
+    return found.select(many.alias("lo"), "hi")
 
 
 def marked(registry: DataFrame, grid: Grid, frontier_value: Column) -> DataFrame:

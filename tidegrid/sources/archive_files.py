@@ -43,8 +43,7 @@ def write_parquet(df: DataFrame, path: str, order: list[str], compress: bool = T
     if bad := refused_columns(df.schema):
         raise NotWritten(f"not archivable: {', '.join(bad)}")
     rows = encode_parquet(df).repartitionByRange(*order).sortWithinPartitions(*order)
-    df.sparkSession.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
-    rows.write.mode("errorifexists").option("compression", "gzip" if compress else "none").parquet(path)
+    rows.write.mode("errorifexists").option("compression", "gzip" if compress else "none").option("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS").parquet(path)
     return _verified(rows, df.sparkSession.read.parquet(path), path)
 
 
