@@ -43,6 +43,17 @@ SENTENCES: dict[str, str] = {
     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc-4-notice",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2-notice",
     "This is free and unencumbered software released into the public domain.": "unlicense-notice",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4-notice",
+    "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.": "cc0-deed",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "agpl-3-or-later",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl-2-1-or-later",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl-2-only",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": "epl-2-notice",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-1-notice",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "0bsd-grant",
+    "This software is provided 'as-is', without any express or implied warranty.": "zlib-as-is",
+    "In no event will the authors be held liable for any damages arising from the use of this software.": "zlib-liability",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": "zlib-grant",
 }
 
 # Other layouts of sentences above, as their notices are printed.
@@ -69,6 +80,14 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("cc-by-4-notice",), "CC-BY-4.0"),
     (("mpl-2-notice",), "MPL-2.0"),
     (("unlicense-notice",), "Unlicense"),
+    (("cc0-deed",), "CC0-1.0"),
+    (("agpl-3-or-later",), "AGPL-3.0-or-later"),
+    (("lgpl-2-1-or-later",), "LGPL-2.1-or-later"),
+    (("gpl-2-only",), "GPL-2.0-only"),
+    (("epl-2-notice",), "EPL-2.0"),
+    (("bsl-1-notice",), "BSL-1.0"),
+    (("0bsd-grant",), "0BSD"),
+    (("zlib-as-is", "zlib-liability", "zlib-grant"), "Zlib"),
 ]
 
 #: A sentence ends at . ! ? : or ; before white space, or at a blank line.
