@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import xxhash
@@ -93,17 +95,31 @@ def signed(data: str, seed: int = 0) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _words(text: str, start: int, end: int, back: bool, n: int) -> list[str]:
-    """n words before ``end`` or after ``start``, read from a window beside the mention; lower case, digits as 0."""
-    own = _TOKEN.findall(text[start:end].lower())
-    return [_DIGIT.sub("0", w.strip(_EDGE)) or w for w in (own[-n:] if back else own[:n])]
+def contexts(text: str) -> Callable[[int, int], tuple[int, int]]:
+    """(start, end) of a mention to its patterns: the two words before, and the word on each side; hashes, 0 for none.
 
+    Words are whole, however long, and those of the text that the mention's own don't belong to; each place between
+    words is worked out once.
+    """
+    words = [m.span() for m in _TOKEN.finditer(text)]
+    starts = [w[0] for w in words]
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, int, int, int]]:
-    """(start, end, is a seed, value, left pattern, surrounding pattern) of base spans and of other tokens with a digit.
+    @cache
+    def plain(k: int) -> str:
+        word = text[slice(*words[k])].lower()
+        return _DIGIT.sub("0", word.strip(_EDGE)) or word
 
-    A left pattern is the two words before, a surrounding one the word on each side; hashes.
-    """
+    @cache
+    def beside(i: int, j: int) -> tuple[int, int]:
+        left = signed(f"{plain(i - 2)} {plain(i - 1)}", 1) if i > 1 else 0
+        return left, signed(f"{plain(i - 1)}\n{plain(j)}", 2) if i and j < len(words) else 0
+
+    return lambda start, end: beside(bisect_right(starts, start) - 1, bisect_left(starts, end))
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, int, int, int]]:
+    """(start, end, is a seed, value, left pattern, surrounding pattern) of base spans and of other tokens with a digit
+    and four characters."""
     places = [(a, b, True) for a, _, b in base]
     taken, k = sorted((a, b) for a, _, b in base), 0
     for d in _runs(text):
@@ -114,13 +130,10 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
             k += 1
         if b - a >= 4 and not any(x < b and y > a for x, y in taken[k : k + 8]):
             places.append((a, b, False))
-    out = []
-    for a, b, seed in places:
-        left = _words(text, max(0, a - 120), a, True, 2)
-        right = _words(text, b, b + 60, False, 1)
-        pats = [signed(" ".join(left), 1) if len(left) == 2 else 0, signed(f"{left[-1]}\n{right[0]}", 2) if left and right else 0]
-        out.append((a, b, seed, signed(text[a:b], 3), *pats))
-    return out
+    if not places:
+        return []
+    around = contexts(text)
+    return [(a, b, seed, signed(text[a:b], 3), *around(a, b)) for a, b, seed in places]
 
 
 def _runs(text: str) -> Iterator[re.Match]:
