@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidegrid.llm import lines, simhash
@@ -39,3 +40,16 @@ def test_pipeline(spark, sf, tmp_path):
     assert seen["bpe"].count() == seen["mixing"].count() > 0
     toxic = {r.doc_id for r in Q.op4_toxicity_chain(spark, sf).where("toxic").collect()}
     assert not toxic & {r.doc_id for r in seen["toxicity"].select("doc_id").collect()}
+
+
+def test_pipeline_on_odd_tables(spark, docs, tmp_path):
+    """run() itself, on nulls, empty and long texts, repeated rows and clashing columns, and on an empty table."""
+    wide = docs.withColumn("p_toxic", F.lit("x")).withColumn("mix_time", F.lit(1)).withColumn("h", F.lit("y"))
+    labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, rows in (("odd", wide), ("empty", wide.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        kept = {r.doc_id for r in got}
+        assert kept <= {r.doc_id for r in rows.select("doc_id").collect()}
+        assert name == "empty" or {1, 6, 7, 9, 10, 11} <= kept and 2 not in kept and 3 not in kept
