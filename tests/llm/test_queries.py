@@ -52,4 +52,5 @@ def test_pipeline_on_odd_tables(spark, docs, tmp_path):
         got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         kept = {r.doc_id for r in got}
         assert kept <= {r.doc_id for r in rows.select("doc_id").collect()}
-        assert name == "empty" or {1, 6, 7, 9, 10, 11} <= kept and 2 not in kept and 3 not in kept
+        # 2 loses all lines to 1 and stands for the texts without words; the mix may leave out any of the others
+        assert kept == set() if name == "empty" else kept and not kept & {3, 4, 5, 8}
