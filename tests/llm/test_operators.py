@@ -398,3 +398,43 @@ def test_lines_find_similar(spark, sizes, least):
     kept = sum(r.n_kept for r in lines.line_digest(docs).collect())
     right = len(set(group))
     assert right <= kept <= right + (1 - least) * (len(made) - right)
+
+
+def test_lines_around_a_common_passage(spark, monkeypatch):
+    """Long lines that repeat a passage and aren't similar: no table of pairs grows with the square of their number."""
+    rng, passage, rows = random.Random(11), [f"p{k}" for k in range(60)], {}
+    made = [[*passage, *(f"w{rng.randrange(4000)}" for _ in range(300))] for _ in range(80)]
+    made.append([*made[0][:200], "edited", *made[0][201:]])
+    real = lines.materialize
+
+    def counted(df, name, *args, **named):
+        out = real(df, name, *args, **named)
+        if name in ("line-rest", "line-pairs"):
+            rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    docs = spark.createDataFrame([(k, " ".join(m)) for k, m in enumerate(made)], "doc_id long, text string")
+    assert {r.doc_id for r in lines.line_digest(docs).collect() if r.n_kept == 0} == {80}
+    assert "line-rest" in rows and max(rows.values()) <= 4 * len(made)
+
+
+def test_similar_lines_share_a_rare_word(spark):
+    rng, made = random.Random(7), []
+    for k, n in enumerate([*range(4, 40), 80, 200] * 3):
+        base = [int(40 * rng.random() ** 2) if k % 2 else rng.randrange(500) for _ in range(n)]
+        other = list(base)
+        for at in rng.sample(range(n), n // 5):
+            other[at] = -rng.randrange(10**6) if rng.random() < 0.6 else base[0]
+        made += [(2 * k, n, sorted(set(base))), (2 * k + 1, n, sorted(set(other)))]
+    got = {r.id: set(r.rare) for r in lines.rare_words(spark.createDataFrame(made, "id long, n int, words array<long>")).select("id", "rare").collect()}
+    assert len(got) == len(made) and all(got[2 * k] & got[2 * k + 1] for k in range(len(made) // 2))
+
+
+def test_line_links_are_grouped_alike_on_the_driver_and_in_spark(spark, monkeypatch):
+    rng = random.Random(2)
+    links = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "u long, v long").where("u <> v")
+    here = {tuple(r) for r in lines._groups(links, "t").collect()}
+    monkeypatch.setattr(lines, "FEW", 0)
+    assert here == {tuple(r) for r in lines._groups(links, "t").collect()}
+    assert lines._groups(links.limit(0), "t").count() == 0

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, scratch
@@ -26,15 +26,21 @@ BLOCKS, RADIUS = 4, 2
 LONG, LEAST = (16, 20), 8
 #: A word is one of SYMBOLS code points, from the one after the surrogates, when edits are counted.
 SYMBOLS, SURROGATES = 1 << 20, 0x10000
-#: Longs of word parities, a power of two.
-PARITIES = 4
+#: Longs of word parities, powers of two: of all candidates, and of the lines that the rounds leave.
+PARITIES, FINE = 4, 16
 #: Rounds of comparison with one line a bucket, before the pairs that are left.
 PIVOTS = 2
+#: Of the lines that the rounds leave, so many of the most frequent words come last when their rarest are taken.
+FREQUENT = 1024
+#: Up to so many links are grouped on the driver, 16 bytes each; more of them in Spark.
+FEW = 1 << 18
+#: What stands between words, each character named: Java looks such a class up in a table.
+BETWEEN = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 
 def words_of(line: Column) -> Column:
     """The words of a line: lower-cased, between spaces, ASCII punctuation and control characters."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(line), r"[\x00-\x1f!-/:-@\[-`{-\x7f]+", " "), " "), "")
+    return F.array_remove(F.split(F.lower(line), BETWEEN), "")
 
 
 def _lanes(hashes: Column, width: int) -> Column:
@@ -79,9 +85,12 @@ def _edits(words: Column) -> Column:
 
 
 def _joined(a: str, b: str, ahead: int) -> Column:
-    """Hashes of each element of ``a`` with the one of ``b`` that stands ``ahead`` further, as far as both go."""
+    """Hashes of each element of ``a`` with the one of ``b`` that stands ``ahead`` further, as far as both go.
+
+    The words' own hashes are mixed well, so one more shift a place is enough to tell the order.
+    """
     reach = F.greatest(F.size(b) - ahead, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), reach), F.slice(b, F.lit(ahead + 1), reach), lambda x, y: F.xxhash64(x, y))
+    return F.zip_with(F.slice(a, F.lit(1), reach), F.slice(b, F.lit(ahead + 1), reach), lambda x, y: x.bitwiseXOR(F.shiftrightunsigned(y, ahead)))
 
 
 def with_buckets(lines: DataFrame) -> DataFrame:
@@ -114,50 +123,108 @@ def _symbols(hashes: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(hashes, point), "")), "UTF-32")
 
 
-def _parities(hashes: Column) -> list[Column]:
-    """PARITIES longs of bits: one is 1 if an odd number of hashes have its number in their last bits."""
+def _parities(hashes: Column, longs: int = PARITIES) -> list[Column]:
+    """``longs`` longs of bits: one is 1 if an odd number of hashes have its number in their last bits."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(PARITIES - 1)) == k)
-    return [F.aggregate(part(k), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h))).alias(f"p{k}") for k in range(PARITIES)]
+    part = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(longs - 1)) == k)
+    return [F.aggregate(part(k), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h))).alias(f"p{k}") for k in range(longs)]
 
 
-def _near(x: str, y: str) -> Column:
+def _near(x: str, y: str, longs: int = PARITIES) -> Column:
     """Whether two rows could be similar by their numbers of words and the parities of their words' hashes.
 
-    An edited word changes two bits at most, so no similar pair is let go. Lines of over 300 words mostly pass.
+    A changed word changes two bits at most, one more or less changes one, so no similar pair is let go. Lines of over 75 words a long mostly pass.
     """
     a, b = F.col(f"{x}n"), F.col(f"{y}n")
     most = _edits(F.greatest(a, b))
-    apart = sum(F.bit_count(F.col(f"{x}p{k}").bitwiseXOR(F.col(f"{y}p{k}"))) for k in range(PARITIES))
-    return (F.abs(a - b) <= most) & (apart <= 2 * most)
+    apart = sum(F.bit_count(F.col(f"{x}p{k}").bitwiseXOR(F.col(f"{y}p{k}"))) for k in range(longs))
+    return (F.abs(a - b) <= most) & (apart <= 2 * most - F.abs(a - b))
+
 
+def _hashes(norm: str = "norm") -> Column:
+    """The words' hashes."""
+    return F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
 
-def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines that are similar enough."""
+
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines (id, norm) that are similar enough. Only lines in a pair have their words' symbols made."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    codes = lines.select("id", "norm").join(ids, "id", "left_semi").withColumn("words", _hashes())
+    codes = materialize(codes.select("id", _symbols(F.col("words")).alias("code")), "line-codes")
     both = pairs.join(codes.select(F.col("id").alias("u"), F.col("code").alias("a")), "u")
     both = both.join(codes.select(F.col("id").alias("v"), F.col("code").alias("b")), "v")
     both = both.withColumn("most", _edits(F.greatest(F.length("a"), F.length("b"))))
     return both.where(F.expr("levenshtein(a, b, most) >= 0")).select("u", "v")
 
 
+def _groups(links: DataFrame, name: str) -> DataFrame:
+    """(node, component) as connected_components() has them; up to FEW links are joined on the driver."""
+    if links.count() > FEW:
+        return connected_components(links, name)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for u, v in links.select("u", "v").collect():
+        a, b = top(u), top(v)
+        above[max(a, b)] = min(a, b)
+    return links.sparkSession.createDataFrame([(x, top(x)) for x in list(above)], "node long, component long")
+
+
+def rare_words(lines: DataFrame) -> DataFrame:
+    """``lines`` (with words, hashes without repeats, and n) and their ``rare`` words: similar lines share one of them.
+
+    Up to a quarter of a line's words are missing in a similar one (a fifth of the longer's), so in any order of all
+    words the first n / 4 + 1 of both have one in common. Here the FREQUENT most frequent come last, so that what many
+    lines repeat is no line's rare word unless nearly all of it is repeated.
+    """
+    often = lines.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    often = often.orderBy(F.desc("times"), "word").limit(FREQUENT).agg(F.sort_array(F.collect_list(F.struct("times", "word"))).alias("often"))
+    often = often.select(F.transform("often", lambda x: x["word"]).alias("often"))
+    ordered = F.concat(F.sort_array(F.array_except("words", "often")), F.array_intersect("often", "words"))
+    first = F.floor(F.col("n") / 4 + F.lit(1e-9)).cast("int") + 1
+    return lines.crossJoin(F.broadcast(often)).withColumn("rare", F.slice(ordered, F.lit(1), first)).drop("often")
+
+
+def _left_pairs(told: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different families, among the lines in buckets that more than one family is in.
+
+    A bucket may hold a passage of many lines that aren't similar, whose pairs would grow with the square of their
+    number. So the buckets only say which lines are left; these meet in their rare words, which misses no similar pair.
+    """
+    several = told.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi")
+    left = told.join(several, "bucket", "left_semi").select("id", "family").distinct()
+    left = materialize(lines.select("id", "n", "norm").join(left, "id").withColumn("all", _hashes()), "line-left")
+    left = left.select("id", "family", "n", *_parities(F.col("all"), FINE), F.array_distinct("all").alias("words"))
+    left = materialize(rare_words(materialize(left, "line-left")).drop("words"), "line-rare")  # or explode's filter makes it thrice
+    left = left.withColumn("rare", F.explode("rare"))
+    a, b = left.alias("a"), left.alias("b")
+    meet = (F.col("a.rare") == F.col("b.rare")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family"))
+    pairs = a.join(b, meet & _near("a.", "b.", FINE))
+    return materialize(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "line-rest")
+
+
 def fuzzy_links(unique: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all similar lines that meet, among the distinct (id, norm, n, times, buckets).
 
-    First the buckets' lines that have any candidate there at all, and their words' symbols. Then, PIVOTS times, each
-    bucket's lines are compared with one of them, the most frequent, which variants are most likely made from; what that
-    links is joined to groups, and the next one comes from another group. Only pairs of different groups are left to
-    compare at the end. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
+    First the buckets' lines that have any candidate there at all. Then, PIVOTS times, each bucket's lines are compared
+    with one of them, the most frequent, which variants are most likely made from; what that links is joined to groups,
+    and the next one comes from another group. Only pairs of different groups are left to compare at the end, by their
+    rare words. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
     """
-    keyed = unique.select(F.explode("buckets").alias("bucket"), "id")
-    other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id"))
-    shared = materialize(keyed.alias("a").join(keyed.alias("b"), other, "left_semi"), "line-shared")
-    words = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
-    lines = unique.join(shared.select("id").distinct(), "id", "left_semi").withColumn("words", words)
-    lines = lines.select("id", "n", F.col("times").cast("int").alias("times"), *_parities(F.col("words")), _symbols(F.col("words")).alias("code"))
+    keyed, alike = unique.select(F.explode("buckets").alias("bucket"), "id"), Window.partitionBy("bucket")
+    shared = keyed.select("bucket", "id", F.min("id").over(alike).alias("lo"), F.max("id").over(alike).alias("hi"))
+    shared = materialize(shared.where("lo < hi").select("bucket", "id"), "line-shared")
+    lines = unique.select("id", "n", "times", "norm").join(shared.select("id").distinct(), "id", "left_semi")
+    lines = lines.withColumn("words", _hashes())
+    lines = lines.select("id", "n", F.col("times").cast("int").alias("times"), *_parities(F.col("words")), "norm")
     lines = materialize(lines, "line-candidates")
-    codes = lines.select("id", "code")
-    met = materialize(shared.join(lines.drop("code"), "id"), "line-met")
+    met = materialize(shared.join(lines.drop("norm"), "id"), "line-met")
     discard(shared)
+    other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id"))
     told = met.alias("a").join(met.alias("b"), other & _near("a.", "b."), "left_semi")
     told = materialize(told.withColumn("family", F.col("id")), "line-told")
     discard(met)
@@ -166,18 +233,15 @@ def fuzzy_links(unique: DataFrame) -> DataFrame:
         heads = left.groupBy("bucket").agg(F.max(F.struct("times", *own)).alias("head"))
         heads = materialize(heads.select("bucket", *[F.col(f"head.{c}").alias(f"head_{c}") for c in own]), "line-heads")
         pairs = told.join(heads, "bucket").where((F.col("family") != F.col("head_family")) & _near("", "head_"))
-        pairs = pairs.select(F.col("id").alias("u"), F.col("head_id").alias("v")).distinct()
-        found = materialize(_verified(pairs, codes), "line-links")
+        pairs = materialize(pairs.select(F.col("id").alias("u"), F.col("head_id").alias("v")).distinct(), "line-pairs")
+        found = materialize(_verified(pairs, lines), "line-links")
         links = found if links is None else links.union(found)
-        groups = materialize(connected_components(links, "line-families").withColumnRenamed("node", "id"), "line-families")
+        groups = materialize(_groups(links, "line-families").withColumnRenamed("node", "id"), "line-families")
         told = told.drop("family").join(groups, "id", "left").withColumn("family", F.coalesce("component", "id")).drop("component")
         told = materialize(told, "line-told")
         used = heads.select(F.col("bucket"), F.col("head_id").alias("id")).join(told, ["bucket", "id"]).select("bucket", F.col("family").alias("used"))
-        left = materialize(told.join(used, "bucket", "left").where("used IS NULL OR family <> used").drop("used"), "line-left")
-    a, b = told.alias("a"), told.alias("b")
-    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family")) & _near("a.", "b.")
-    rest = materialize(a.join(b, meet).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "line-rest")
-    return links.union(_verified(rest, codes))
+        left = materialize(told.join(used, "bucket").where("family <> used").drop("used"), "line-left")
+    return links.union(_verified(_left_pairs(told, lines), lines))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -203,7 +267,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     unique = materialize(unique.withColumn("id", F.monotonically_increasing_id()), "line-unique", "zstd")
     slim = materialize(places.select("doc_id", "tkey", "pos", "h1", "h2"), "line-places")
     discard(texts)
-    groups = materialize(connected_components(fuzzy_links(unique), "line-groups"), "line-components")
+    groups = materialize(_groups(materialize(fuzzy_links(unique), "line-links"), "line-groups"), "line-components")
     inside = unique.select("id", "first").join(groups.withColumnRenamed("node", "id"), "id")
     stays = inside.groupBy("component").agg(F.min("first").alias("stays"))
     linked = materialize(groups.join(stays, "component").select(F.col("node").alias("id"), "stays"), "line-stays")
