@@ -200,22 +200,24 @@ def _left_pairs(told: DataFrame, lines: DataFrame) -> DataFrame:
     left = materialize(lines.select("id", "n", "norm").join(left, "id").withColumn("all", _hashes()), "line-left")
     left = left.select("id", "family", "n", *_parities(F.col("all"), FINE), F.array_distinct("all").alias("words"))
     left = materialize(rare_words(materialize(left, "line-left")).drop("words"), "line-rare")  # or explode's filter makes it thrice
-    left = left.withColumn("rare", F.explode("rare"))
+    left = left.withColumn("word", F.explode("rare"))
     a, b = left.alias("a"), left.alias("b")
-    meet = (F.col("a.rare") == F.col("b.rare")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family"))
-    pairs = a.join(b, meet & _near("a.", "b.", FINE))
-    return materialize(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "line-rest")
+    meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family"))
+    once = F.array_min(F.array_intersect("a.rare", "b.rare")) == F.col("a.word")  # not once for each word they share
+    pairs = a.join(b, meet & _near("a.", "b.", FINE) & once)
+    return materialize(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")), "line-rest")
 
 
 def fuzzy_links(unique: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all similar lines that meet, among the distinct (id, norm, n, times, buckets).
+    """Edges (u, v) that connect all similar lines that meet, among the distinct (id, norm, n, times).
 
     First the buckets' lines that have any candidate there at all. Then, PIVOTS times, each bucket's lines are compared
     with one of them, the most frequent, which variants are most likely made from; what that links is joined to groups,
     and the next one comes from another group. Only pairs of different groups are left to compare at the end, by their
     rare words. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
     """
-    keyed, alike = unique.select(F.explode("buckets").alias("bucket"), "id"), Window.partitionBy("bucket")
+    keyed = with_buckets(unique.select("id", "n", "norm")).select(F.explode_outer("buckets").alias("bucket"), "id")
+    keyed, alike = keyed.where("bucket IS NOT NULL"), Window.partitionBy("bucket")  # explode's own filter makes buckets twice
     shared = keyed.select("bucket", "id", F.min("id").over(alike).alias("lo"), F.max("id").over(alike).alias("hi"))
     shared = materialize(shared.where("lo < hi").select("bucket", "id"), "line-shared")
     lines = unique.select("id", "n", "times", "norm").join(shared.select("id").distinct(), "id", "left_semi")
@@ -263,7 +265,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     unique = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), least)
     own = ("nameless", "doc_id", "tkey", "pos")
     first = F.struct(*[F.col(f"least.{c}").alias(c) for c in own]).alias("first")
-    unique = with_buckets(unique.select("h1", "h2", "times", first, "least.n", "least.norm"))
+    unique = unique.select("h1", "h2", "times", first, "least.n", "least.norm")
     unique = materialize(unique.withColumn("id", F.monotonically_increasing_id()), "line-unique", "zstd")
     slim = materialize(places.select("doc_id", "tkey", "pos", "h1", "h2"), "line-places")
     discard(texts)
