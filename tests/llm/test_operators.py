@@ -438,3 +438,49 @@ def test_line_links_are_grouped_alike_on_the_driver_and_in_spark(spark, monkeypa
     monkeypatch.setattr(lines, "FEW", 0)
     assert here == {tuple(r) for r in lines._groups(links, "t").collect()}
     assert lines._groups(links.limit(0), "t").count() == 0
+
+
+def test_line_hash_of_few_features(spark):
+    rows = [(n, [xxhash.xxh64_intdigest(str((n, j)).encode()) - (1 << 63) for j in range(n)]) for n in range(1, 2 * lines.FEATURES)]
+    for r in spark.createDataFrame(rows, "k long, h array<long>").select("k", "h", lines.simhash(F.col("h")).alias("s")).collect():
+        assert r.s & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.h) > len(r.h))
+
+
+def test_lines_are_normalised_as_their_words_are(spark):
+    rng = random.Random(13)
+    signs = [chr(c) for c in range(1, 128) if c != 10] + [" "] * 60 + ["\n"] * 20 + list("\u00c4\u03a3\u0130\u4e2d\U0001f600\u2028\u0085\u00a0")
+    texts = ["", " ", "\n", "a\n", "\n a", "A  b . c\td", "\u03a3\u03a3\n\u03a3"] + ["".join(rng.choice(signs) for _ in range(rng.randrange(80))) for _ in range(300)]
+    made = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    between = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
+    words = F.transform(F.split("text", "\n", -1), lambda x: F.array_join(F.array_remove(F.split(F.lower(x), between), ""), " "))
+    for r in made.select("text", F.transform(lines.norms_of(F.col("text")), lambda x: F.trim(x)).alias("got"), words.alias("right")).collect():
+        assert r.got == r.right
+
+
+def test_lines_alone_at_their_length_leave_their_buckets(spark):
+    rng = random.Random(17)
+    sizes = [*range(4, 40), 100, 126, 500, 4000, 5000, 9000]
+    made = lines.with_id(spark.createDataFrame([(n,) for n in sizes], "n int").coalesce(1)).collect()
+    assert len({r.id for r in made}) == len(made) and all(r.id > 0 for r in made)
+    rows = [(b, r.id, r.n) for b in range(200) for r in rng.sample(made, rng.randrange(1, 5))]
+    near = lambda a, b: abs(a - b) <= (min(max(a, b), lines.MOST_WORDS) + 1e-6) // 5 or min(a, b) >= lines.MOST_WORDS
+    right = {(b, i) for b, i, n in rows if any(b == c and i != j and near(n, m) for c, j, m in rows)}
+    got = [tuple(r) for r in lines.in_company(spark.createDataFrame(rows, "bucket long, id long, n int").select("bucket", "id")).collect()]
+    assert right <= set(got) and len(got) == len(set(got))
+    assert all(any(b == c and i != j and 5 * (max(n, m) - min(n, m)) <= max(n, m) + 5 for c, j, m in rows) for b, i, n in rows if (b, i) in set(got) and n < 4000)
+
+
+def test_buckets_of_the_same_lines_are_one(spark, monkeypatch):
+    """Similar lines share most of their features; their pair is made from one bucket, not from each of them."""
+    rows, real = {}, lines.materialize
+
+    def counted(df, name, *args, **named):
+        out = real(df, name, *args, **named)
+        rows.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    words = [f"w{k}" for k in range(15)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:14], "other"])), (3, "one two three four five six")], "doc_id long, text string")
+    assert {r.doc_id: r.n_kept for r in lines.line_digest(docs).collect()} == {1: 1, 2: 0, 3: 1}
+    assert rows["line-shared"] == rows["line-told"] == 2

@@ -34,17 +34,23 @@ PIVOTS = 2
 FREQUENT = 1024
 #: Up to so many links are grouped on the driver, 16 bytes each; more of them in Spark.
 FEW = 1 << 18
-#: What stands between words, each character named: Java looks such a class up in a table.
-BETWEEN = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
+#: Up to so many features are counted in generated code, more of them in a fold.
+FEATURES = 24
+#: A line's id has its number of words, up to MOST_WORDS, in the bits from ID_BITS on.
+ID_BITS, MOST_WORDS = 51, (1 << 12) - 1
+#: What stands between words in a line, each character named: Java looks such a class up in a table.
+BETWEEN = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum() and c != 10)
+#: All of that but single spaces, which stay as they are. It begins with one class, so that Java passes by words quickly.
+UNEVEN = f"[{BETWEEN}](?:(?<! )[{BETWEEN}]*+|[{BETWEEN}]++)"
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line: lower-cased, between spaces, ASCII punctuation and control characters."""
-    return F.array_remove(F.split(F.lower(line), BETWEEN), "")
+def norms_of(text: Column) -> Column:
+    """The normalised lines of a text: lower-cased words with a space between, without ASCII punctuation and control characters."""
+    return F.split(F.regexp_replace(F.lower(text), UNEVEN, " "), "\n", -1)
 
 
-def _lanes(hashes: Column, width: int) -> Column:
-    """SimHash of up to 2 ** (width - 1) - 1 hashes: counters in lanes of ``width`` bits, whose top bit stays clear.
+def _lanes(hashes: Column, width: int, few: int = 0) -> Column:
+    """SimHash of up to 2 ** (width - 1) - 1 hashes, or the first ``few``: counters in lanes of ``width`` bits, whose top bit stays clear.
 
     Sum k counts bits k, k + width, ... Adding what lifts a count over half past the lane's second-highest bit leaves
     the majority there.
@@ -52,7 +58,10 @@ def _lanes(hashes: Column, width: int) -> Column:
     ones = sum(1 << k for k in range(0, 64, width))
 
     def count(k: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones)))
+        lane = lambda h: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones))
+        if few:
+            return sum((lane(F.coalesce(F.get(hashes, F.lit(i)), F.lit(0).cast("long"))) for i in range(1, few)), lane(F.get(hashes, F.lit(0))))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + lane(h))
 
     need = F.floor(F.size(hashes) / 2).cast("long")
     top = 1 << width - 2
@@ -65,9 +74,10 @@ def _lanes(hashes: Column, width: int) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """A bit is 1 if it is set in over half of the hashes; narrow lanes for few of them, wider ones beyond."""
+    """A bit is 1 if it is set in over half of the hashes; narrow lanes for few of them, wider ones beyond. None: null."""
     n = F.size(hashes)
-    return F.when(n < 1 << 6, _lanes(hashes, 8)).when(n < 1 << 14, _lanes(hashes, 16)).otherwise(_lanes(hashes, 32))
+    some = F.when(n <= FEATURES // 2, _lanes(hashes, 8, FEATURES // 2)).when(n <= FEATURES, _lanes(hashes, 8, FEATURES))
+    return some.when(n < 1 << 6, _lanes(hashes, 8)).when(n < 1 << 14, _lanes(hashes, 16)).otherwise(_lanes(hashes, 32))
 
 
 def block_keys(fp: Column) -> list[Column]:
@@ -111,12 +121,35 @@ def with_buckets(lines: DataFrame) -> DataFrame:
         some = out.withColumn("some", F.filter(runs, lambda x: x.bitwiseAND(F.col("sieve")) == 0))
         least = F.array_compact(F.array(F.array_min(runs)))
         out = some.withColumn(runs, F.when(F.size("some") > 0, F.col("some")).otherwise(least))
-    out = out.withColumn("fp", simhash(F.when(n < LONG[1], F.col("threes")).otherwise(F.col("fours"))))
+    out = out.withColumn("features", F.when(n < LONG[1], F.col("threes")).otherwise(F.col("fours")))
+    out = out.withColumn("fp", simhash(F.col("features")))
     pairs = F.when(n <= 5, F.col("twos")).otherwise(none)
     found = F.array_distinct(F.concat("threes", "fours", pairs, F.array(*block_keys(F.col("fp")))))
     return out.select(*lines.columns, F.when(n >= SHORTEST, found).otherwise(none).alias("buckets"))
 
 
+def with_id(lines: DataFrame) -> DataFrame:
+    """``lines`` (with n) and their ``id``: in the order of their numbers of words, up to MOST_WORDS."""
+    head = F.call_function("shiftleft", F.least("n", F.lit(MOST_WORDS)).cast("long"), F.lit(ID_BITS))
+    return lines.withColumn("id", head.bitwiseOR(F.monotonically_increasing_id()))
+
+
+def in_company(keyed: DataFrame) -> DataFrame:
+    """Rows (bucket, id) whose bucket has another line of a length that similarity allows.
+
+    In the order of lengths, the next shorter and the next longer line are those that could be near enough, if any is.
+    """
+    def words(line: Column) -> Column:
+        return F.shiftrightunsigned(line, ID_BITS)
+
+    def fits(short: Column, long: Column) -> Column:
+        return F.coalesce(words(long) - words(short) <= _edits(words(long)), F.lit(False))
+
+    beside = Window.partitionBy("bucket").orderBy("id")
+    rows = keyed.select("bucket", "id", F.lag("id").over(beside).alias("lo"), F.lead("id").over(beside).alias("hi"))
+    return rows.where(fits(F.col("lo"), F.col("id")) | fits(F.col("id"), F.col("hi"))).select("bucket", "id")
+
+
 def _symbols(hashes: Column) -> Column:
     """A string with one symbol for each word; two words have the same one once in SYMBOLS times."""
     point = lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit(SYMBOLS - 1)) + F.lit(SURROGATES)), 8, "0")
@@ -184,7 +217,8 @@ def rare_words(lines: DataFrame) -> DataFrame:
     often = lines.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     often = often.orderBy(F.desc("times"), "word").limit(FREQUENT).agg(F.sort_array(F.collect_list(F.struct("times", "word"))).alias("often"))
     often = often.select(F.transform("often", lambda x: x["word"]).alias("often"))
-    ordered = F.concat(F.sort_array(F.array_except("words", "often")), F.array_intersect("often", "words"))
+    last = F.array_intersect("often", "words")
+    ordered = F.concat(F.sort_array(F.array_except("words", last)), last)  # the one of few words is made a set
     first = F.floor(F.col("n") / 4 + F.lit(1e-9)).cast("int") + 1
     return lines.crossJoin(F.broadcast(often)).withColumn("rare", F.slice(ordered, F.lit(1), first)).drop("often")
 
@@ -208,18 +242,27 @@ def _left_pairs(told: DataFrame, lines: DataFrame) -> DataFrame:
     return materialize(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")), "line-rest")
 
 
+def once_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (bucket, id, more), each set of lines once: buckets are named by a hash of their lines and those alike fall together.
+
+    Similar lines meet in most of their features, all of which say the same. If two sets have one hash, they are one
+    bucket, which loses no pair.
+    """
+    named = F.bit_xor(F.xxhash64("id")).over(Window.partitionBy("bucket"))
+    return rows.withColumn("bucket", named).dropDuplicates(["bucket", "id"])
+
+
 def fuzzy_links(unique: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all similar lines that meet, among the distinct (id, norm, n, times).
 
-    First the buckets' lines that have any candidate there at all. Then, PIVOTS times, each bucket's lines are compared
+    First the buckets' lines that have any candidate there at all, by length, then by words. Then, PIVOTS times, each bucket's lines are compared
     with one of them, the most frequent, which variants are most likely made from; what that links is joined to groups,
     and the next one comes from another group. Only pairs of different groups are left to compare at the end, by their
     rare words. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
     """
     keyed = with_buckets(unique.select("id", "n", "norm")).select(F.explode_outer("buckets").alias("bucket"), "id")
-    keyed, alike = keyed.where("bucket IS NOT NULL"), Window.partitionBy("bucket")  # explode's own filter makes buckets twice
-    shared = keyed.select("bucket", "id", F.min("id").over(alike).alias("lo"), F.max("id").over(alike).alias("hi"))
-    shared = materialize(shared.where("lo < hi").select("bucket", "id"), "line-shared")
+    keyed = keyed.where("bucket IS NOT NULL")  # explode's own filter makes buckets twice
+    shared = materialize(once_each(in_company(keyed)), "line-shared")
     lines = unique.select("id", "n", "times", "norm").join(shared.select("id").distinct(), "id", "left_semi")
     lines = lines.withColumn("words", _hashes())
     lines = lines.select("id", "n", F.col("times").cast("int").alias("times"), *_parities(F.col("words")), "norm")
@@ -228,7 +271,7 @@ def fuzzy_links(unique: DataFrame) -> DataFrame:
     discard(shared)
     other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id"))
     told = met.alias("a").join(met.alias("b"), other & _near("a.", "b."), "left_semi")
-    told = materialize(told.withColumn("family", F.col("id")), "line-told")
+    told = materialize(once_each(told).withColumn("family", F.col("id")), "line-told")
     discard(met)
     links, left, own = None, told, ("id", "n", *[f"p{k}" for k in range(PARITIES)], "family")
     for _ in range(PIVOTS):
@@ -254,19 +297,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     doc_id and text are one row's copies and are treated alike. Lines without a word are never removed; null text has
     no lines; an empty table gives no rows. Lines are told apart by 128 bits.
     """
-    text, words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("words")
-    each = text.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    each = each.select("doc_id", "tkey", "pos", words_of(F.col("line")).alias("words"))
-    norm = F.array_join("words", " ")
-    places = each.select("doc_id", "tkey", "pos", F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(7), words).alias("h2"), F.size(words).alias("n"), norm.alias("norm"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    each = text.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode_outer(norms_of(F.col("text"))).alias("pos", "norm"))
+    each = each.where("pos IS NOT NULL")  # posexplode's own filter makes norms thrice
+    each = each.select("doc_id", "tkey", "pos", F.trim("norm").alias("norm"))
+    n = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    places = each.select("doc_id", "tkey", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), n.alias("n"), "norm")
     texts = materialize(places, "line-texts", "zstd")
-    places = texts.where("n > 0")  # only here: before, it would have words made twice
+    places = texts.where("norm <> ''")  # only here: before, it would have norms made twice
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey", "pos", "n", "norm")).alias("least")
     unique = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), least)
     own = ("nameless", "doc_id", "tkey", "pos")
     first = F.struct(*[F.col(f"least.{c}").alias(c) for c in own]).alias("first")
     unique = unique.select("h1", "h2", "times", first, "least.n", "least.norm")
-    unique = materialize(unique.withColumn("id", F.monotonically_increasing_id()), "line-unique", "zstd")
+    unique = materialize(with_id(unique), "line-unique", "zstd")
     slim = materialize(places.select("doc_id", "tkey", "pos", "h1", "h2"), "line-places")
     discard(texts)
     groups = materialize(_groups(materialize(fuzzy_links(unique), "line-links"), "line-groups"), "line-components")
@@ -300,7 +344,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_lines, n_kept, removed (places from 0, joined by commas)."""
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))), F.lit(0)).cast("long")
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = F.coalesce(ends + 1, F.lit(0)).cast("long")
     slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), n.alias("n_lines")), "line-docs")
     with scratch():
         gone = materialize(repeated_lines(docs), "line-removed", keep=True).toDF("line_doc", "line_text", "line_gone")
