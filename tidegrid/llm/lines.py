@@ -242,14 +242,18 @@ def _left_pairs(told: DataFrame, lines: DataFrame) -> DataFrame:
     return materialize(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")), "line-rest")
 
 
+def _name() -> Column:
+    """A hash of the set of lines in a bucket."""
+    return F.bit_xor(F.xxhash64("id"))
+
+
 def once_each(rows: DataFrame) -> DataFrame:
     """``rows`` (bucket, id, more), each set of lines once: buckets are named by a hash of their lines and those alike fall together.
 
     Similar lines meet in most of their features, all of which say the same. If two sets have one hash, they are one
     bucket, which loses no pair.
     """
-    named = F.bit_xor(F.xxhash64("id")).over(Window.partitionBy("bucket"))
-    return rows.withColumn("bucket", named).dropDuplicates(["bucket", "id"])
+    return rows.withColumn("bucket", _name().over(Window.partitionBy("bucket"))).dropDuplicates(["bucket", "id"])
 
 
 def fuzzy_links(unique: DataFrame) -> DataFrame:
@@ -271,7 +275,10 @@ def fuzzy_links(unique: DataFrame) -> DataFrame:
     discard(shared)
     other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id"))
     told = met.alias("a").join(met.alias("b"), other & _near("a.", "b."), "left_semi")
-    told = materialize(once_each(told).withColumn("family", F.col("id")), "line-told")
+    told = materialize(told, "line-near")
+    names = told.groupBy("bucket").agg(_name().alias("name"))  # no window, which would hold a hot bucket's join in one task
+    told = told.join(names, "bucket").drop("bucket").withColumnRenamed("name", "bucket").dropDuplicates(["bucket", "id"])
+    told = materialize(told.withColumn("family", F.col("id")), "line-told")
     discard(met)
     links, left, own = None, told, ("id", "n", *[f"p{k}" for k in range(PARITIES)], "family")
     for _ in range(PIVOTS):
