@@ -484,3 +484,22 @@ def test_buckets_of_the_same_lines_are_one(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:14], "other"])), (3, "one two three four five six")], "doc_id long, text string")
     assert {r.doc_id: r.n_kept for r in lines.line_digest(docs).collect()} == {1: 1, 2: 0, 3: 1}
     assert rows["line-shared"] == rows["line-told"] == 2
+
+
+def test_distinct_lines_are_made_in_parts(spark, monkeypatch):
+    """No shuffle holds all lines' texts: parts by hash, ids that differ, and similar lines of different parts still link."""
+    made, real = {}, lines.materialize
+
+    def kept(df, name, *args, **named):
+        out = real(df, name, *args, **named)
+        if name in ("line-unique", "line-candidates"):
+            made.setdefault(name, []).append([r.id for r in out.select("id").collect()])
+        return out
+
+    monkeypatch.setattr(lines, "materialize", kept)
+    words = [[f"w{k}x{j}" for j in range(10)] for k in range(40)]
+    rows = [(2 * k, " ".join(w)) for k, w in enumerate(words)] + [(2 * k + 1, " ".join([*w[:9], "other"])) for k, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_kept == (r.doc_id + 1) % 2 for r in lines.line_digest(docs).collect())
+    for parts in made.values():
+        assert len(parts) == lines.PARTS > 1 and all(20 < len(x) < 60 for x in parts) and len({i for x in parts for i in x}) == 80

@@ -10,6 +10,7 @@ decides. Lines under sixteen words surely meet if they are similar; the share of
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +27,8 @@ BLOCKS, RADIUS = 4, 2
 LONG, LEAST = (16, 20), 8
 #: A word is one of SYMBOLS code points, from the one after the surrogates, when edits are counted.
 SYMBOLS, SURROGATES = 1 << 20, 0x10000
-#: Longs of word parities, powers of two: of all candidates, and of the lines that the rounds leave.
-PARITIES, FINE = 4, 16
+#: Longs of word parities, powers of two: of all candidates, and of those of over WIDE words that the rounds leave.
+PARITIES, FINE, WIDE = 4, 16, 300
 #: Rounds of comparison with one line a bucket, before the pairs that are left.
 PIVOTS = 2
 #: Of the lines that the rounds leave, so many of the most frequent words come last when their rarest are taken.
@@ -36,8 +37,10 @@ FREQUENT = 1024
 FEW = 1 << 18
 #: Up to so many features are counted in generated code, more of them in a fold.
 FEATURES = 24
-#: A line's id has its number of words, up to MOST_WORDS, in the bits from ID_BITS on.
+#: A line's id has its number of words, up to MOST_WORDS, in the bits from ID_BITS on, and below these its part.
 ID_BITS, MOST_WORDS = 51, (1 << 12) - 1
+#: The distinct lines are made and looked up in so many parts, by hash and one after the other: so much less is in shuffle files at once.
+PARTS = 2
 #: What stands between words in a line, each character named: Java looks such a class up in a table.
 BETWEEN = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum() and c != 10)
 #: All of that but single spaces, which stay as they are. It begins with one class, so that Java passes by words quickly.
@@ -128,12 +131,18 @@ def with_buckets(lines: DataFrame) -> DataFrame:
     return out.select(*lines.columns, F.when(n >= SHORTEST, found).otherwise(none).alias("buckets"))
 
 
-def with_id(lines: DataFrame) -> DataFrame:
-    """``lines`` (with n) and their ``id``: in the order of their numbers of words, up to MOST_WORDS."""
+def with_id(lines: DataFrame, part: int = 0) -> DataFrame:
+    """``lines`` (with n) and their ``id``: in the order of their numbers of words, up to MOST_WORDS; those of two parts differ."""
     head = F.call_function("shiftleft", F.least("n", F.lit(MOST_WORDS)).cast("long"), F.lit(ID_BITS))
+    head = head.bitwiseOR(F.lit(part << ID_BITS - PARTS.bit_length() + 1).cast("long"))
     return lines.withColumn("id", head.bitwiseOR(F.monotonically_increasing_id()))
 
 
+def part_of(line: Column) -> Column:
+    """The part that an id is of."""
+    return F.shiftrightunsigned(line, ID_BITS - PARTS.bit_length() + 1).bitwiseAND(F.lit(PARTS - 1))
+
+
 def in_company(keyed: DataFrame) -> DataFrame:
     """Rows (bucket, id) whose bucket has another line of a length that similarity allows.
 
@@ -179,11 +188,8 @@ def _hashes(norm: str = "norm") -> Column:
     return F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines (id, norm) that are similar enough. Only lines in a pair have their words' symbols made."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    codes = lines.select("id", "norm").join(ids, "id", "left_semi").withColumn("words", _hashes())
-    codes = materialize(codes.select("id", _symbols(F.col("words")).alias("code")), "line-codes")
+def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines (id, code) that are similar enough."""
     both = pairs.join(codes.select(F.col("id").alias("u"), F.col("code").alias("a")), "u")
     both = both.join(codes.select(F.col("id").alias("v"), F.col("code").alias("b")), "v")
     both = both.withColumn("most", _edits(F.greatest(F.length("a"), F.length("b"))))
@@ -228,18 +234,29 @@ def _left_pairs(told: DataFrame, lines: DataFrame) -> DataFrame:
 
     A bucket may hold a passage of many lines that aren't similar, whose pairs would grow with the square of their
     number. So the buckets only say which lines are left; these meet in their rare words, which misses no similar pair.
+    Only lines of over WIDE words, which PARITIES longs hardly tell apart, carry more along.
     """
     several = told.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi")
-    left = told.join(several, "bucket", "left_semi").select("id", "family").distinct()
+    left = told.join(several.select("bucket"), "bucket", "left_semi").select("id", "family").distinct()
     left = materialize(lines.select("id", "n", "norm").join(left, "id").withColumn("all", _hashes()), "line-left")
-    left = left.select("id", "family", "n", *_parities(F.col("all"), FINE), F.array_distinct("all").alias("words"))
+    fine = F.when(F.col("n") >= SIMILARITY * WIDE, F.array(*_parities(F.col("all"), FINE))).alias("fine")
+    left = left.select("id", "family", "n", *_parities(F.col("all")), fine, F.array_distinct("all").alias("words"))
     left = materialize(rare_words(materialize(left, "line-left")).drop("words"), "line-rare")  # or explode's filter makes it thrice
-    left = left.withColumn("word", F.explode("rare"))
-    a, b = left.alias("a"), left.alias("b")
-    meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family"))
+    x, y = F.col("a.n"), F.col("b.n")
+    most = _edits(F.greatest(x, y))
+    meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family")) & _near("a.", "b.")
+    apart = F.aggregate(F.zip_with("a.fine", "b.fine", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
     once = F.array_min(F.array_intersect("a.rare", "b.rare")) == F.col("a.word")  # not once for each word they share
-    pairs = a.join(b, meet & _near("a.", "b.", FINE) & once)
-    return materialize(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")), "line-rest")
+
+    def pairs(rows: DataFrame, more: Column) -> DataFrame:
+        return rows.alias("a").join(rows.alias("b"), meet & more).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+
+    word = F.explode("rare").alias("word")
+    own = ("id", "family", "n", *[f"p{k}" for k in range(PARITIES)])
+    short = pairs(left.where(F.col("n") <= WIDE).select(*own, word), F.lit(True)).distinct()
+    wide = left.where("fine IS NOT NULL").select(*own, "fine", "rare", word)
+    wide = pairs(wide, (F.greatest(x, y) > WIDE) & (apart <= 2 * most - F.abs(x - y)) & once)
+    return materialize(short.union(wide), "line-rest")
 
 
 def _name() -> Column:
@@ -256,44 +273,61 @@ def once_each(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", _name().over(Window.partitionBy("bucket"))).dropDuplicates(["bucket", "id"])
 
 
-def fuzzy_links(unique: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all similar lines that meet, among the distinct (id, norm, n, times).
+def fuzzy_links(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) that connect all similar lines that meet, among the distinct (id, norm, n, times, more) in all parts; and the rows of these, without times.
 
     First the buckets' lines that have any candidate there at all, by length, then by words. Then, PIVOTS times, each bucket's lines are compared
     with one of them, the most frequent, which variants are most likely made from; what that links is joined to groups,
-    and the next one comes from another group. Only pairs of different groups are left to compare at the end, by their
-    rare words. A family of thousands of variants thus costs about a comparison a line, and no connection is lost.
+    and the next one comes from another group. Only pairs of different groups are left to compare at the end. A family
+    of thousands of variants thus costs about a comparison a line, and no connection is lost.
     """
+    unique = reduce(DataFrame.union, parts)
     keyed = with_buckets(unique.select("id", "n", "norm")).select(F.explode_outer("buckets").alias("bucket"), "id")
     keyed = keyed.where("bucket IS NOT NULL")  # explode's own filter makes buckets twice
     shared = materialize(once_each(in_company(keyed)), "line-shared")
-    lines = unique.select("id", "n", "times", "norm").join(shared.select("id").distinct(), "id", "left_semi")
-    lines = lines.withColumn("words", _hashes())
-    lines = lines.select("id", "n", F.col("times").cast("int").alias("times"), *_parities(F.col("words")), "norm")
-    lines = materialize(lines, "line-candidates")
-    met = materialize(shared.join(lines.drop("norm"), "id"), "line-met")
+    found = []
+    for k, part in enumerate(parts):
+        ids = shared.select("id").where(part_of(F.col("id")) == k).distinct()
+        some = part.withColumn("times", F.col("times").cast("int")).join(ids, "id", "left_semi").withColumn("words", _hashes())
+        found.append(materialize(some.select(*part.columns, *_parities(F.col("words"))), "line-candidates"))
+    lines = reduce(DataFrame.union, found)
+    parities = [f"p{k}" for k in range(PARITIES)]
+    met = materialize(shared.join(lines.select("id", "n", "times", *parities), "id"), "line-met")
     discard(shared)
     other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id"))
     told = met.alias("a").join(met.alias("b"), other & _near("a.", "b."), "left_semi")
-    told = materialize(told, "line-near")
-    names = told.groupBy("bucket").agg(_name().alias("name"))  # no window, which would hold a hot bucket's join in one task
-    told = told.join(names, "bucket").drop("bucket").withColumnRenamed("name", "bucket").dropDuplicates(["bucket", "id"])
-    told = materialize(told.withColumn("family", F.col("id")), "line-told")
+    told = materialize(told.withColumn("family", F.col("id")).withColumn("used", F.lit(None).cast("long")), "line-told")
     discard(met)
-    links, left, own = None, told, ("id", "n", *[f"p{k}" for k in range(PARITIES)], "family")
+    more = [c for c in unique.columns if c != "times"]
+    codes = lines.select(*more).join(told.select("id").distinct(), "id", "left_semi").withColumn("words", _hashes())
+    codes = materialize(codes.select(*more, _symbols(F.col("words")).alias("code")), "line-codes")
+    for part in found:
+        discard(part)
+    links, own = None, ("id", "n", *parities, "family")
     for _ in range(PIVOTS):
-        heads = left.groupBy("bucket").agg(F.max(F.struct("times", *own)).alias("head"))
+        heads = told.where("used IS NULL OR family <> used").groupBy("bucket").agg(F.max(F.struct("times", *own)).alias("head"))
         heads = materialize(heads.select("bucket", *[F.col(f"head.{c}").alias(f"head_{c}") for c in own]), "line-heads")
         pairs = told.join(heads, "bucket").where((F.col("family") != F.col("head_family")) & _near("", "head_"))
         pairs = materialize(pairs.select(F.col("id").alias("u"), F.col("head_id").alias("v")).distinct(), "line-pairs")
-        found = materialize(_verified(pairs, lines), "line-links")
+        found = materialize(_verified(pairs, codes), "line-links")
         links = found if links is None else links.union(found)
         groups = materialize(_groups(links, "line-families").withColumnRenamed("node", "id"), "line-families")
-        told = told.drop("family").join(groups, "id", "left").withColumn("family", F.coalesce("component", "id")).drop("component")
-        told = materialize(told, "line-told")
-        used = heads.select(F.col("bucket"), F.col("head_id").alias("id")).join(told, ["bucket", "id"]).select("bucket", F.col("family").alias("used"))
-        left = materialize(told.join(used, "bucket").where("family <> used").drop("used"), "line-left")
-    return links.union(_verified(_left_pairs(told, lines), lines))
+        family = F.coalesce("component", "id")
+        used = heads.select("bucket", F.col("head_id").alias("id")).join(groups, "id", "left").select("bucket", family.alias("used"))
+        told = told.drop("family", "used").join(groups, "id", "left").withColumn("family", family).drop("component")
+        told = materialize(told.join(used, "bucket"), "line-told")  # a bucket without a head is of one family
+    return links.union(_verified(_left_pairs(told, codes), codes)), codes
+
+
+def cut_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, tkey, n_lines, pos, h1, h2, n, norm): a row for each line, and one without pos for null text."""
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    own = (F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), F.coalesce(ends + 1, F.lit(0)).alias("n_lines"))
+    whole = docs.select(*own, "text")  # first, or they are made again for each line
+    each = whole.select("doc_id", "tkey", "n_lines", F.posexplode_outer(norms_of(F.col("text"))).alias("pos", "norm"))
+    each = each.withColumn("norm", F.trim("norm"))
+    n = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return materialize(each.select("doc_id", "tkey", "n_lines", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), n.alias("n"), "norm"), "line-texts", "zstd")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -304,28 +338,30 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     doc_id and text are one row's copies and are treated alike. Lines without a word are never removed; null text has
     no lines; an empty table gives no rows. Lines are told apart by 128 bits.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = text.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode_outer(norms_of(F.col("text"))).alias("pos", "norm"))
-    each = each.where("pos IS NOT NULL")  # posexplode's own filter makes norms thrice
-    each = each.select("doc_id", "tkey", "pos", F.trim("norm").alias("norm"))
-    n = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    places = each.select("doc_id", "tkey", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), n.alias("n"), "norm")
-    texts = materialize(places, "line-texts", "zstd")
+    return _repeated(cut_lines(docs))
+
+
+def _repeated(texts: DataFrame) -> DataFrame:
+    """repeated_lines() of what cut_lines() returns, which it deletes."""
     places = texts.where("norm <> ''")  # only here: before, it would have norms made twice
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey", "pos", "n", "norm")).alias("least")
-    unique = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), least)
     own = ("nameless", "doc_id", "tkey", "pos")
     first = F.struct(*[F.col(f"least.{c}").alias(c) for c in own]).alias("first")
-    unique = unique.select("h1", "h2", "times", first, "least.n", "least.norm")
-    unique = materialize(with_id(unique), "line-unique", "zstd")
+    parts = []
+    for k in range(PARTS):
+        part = places.where(F.pmod(F.shiftrightunsigned("h2", 8), F.lit(PARTS)) == k).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), least)
+        parts.append(materialize(with_id(part.select("h1", "h2", "times", first, "least.n", "least.norm"), k), "line-unique", "zstd"))
+    unique = reduce(DataFrame.union, parts)
     slim = materialize(places.select("doc_id", "tkey", "pos", "h1", "h2"), "line-places")
     discard(texts)
-    groups = materialize(_groups(materialize(fuzzy_links(unique), "line-links"), "line-groups"), "line-components")
-    inside = unique.select("id", "first").join(groups.withColumnRenamed("node", "id"), "id")
+    links, near = fuzzy_links(parts)
+    groups = materialize(_groups(materialize(links, "line-links"), "line-groups"), "line-components")
+    inside = near.select("id", "h1", "h2", "first").join(groups.withColumnRenamed("node", "id"), "id")
+    inside = materialize(inside, "line-inside")
     stays = inside.groupBy("component").agg(F.min("first").alias("stays"))
-    linked = materialize(groups.join(stays, "component").select(F.col("node").alias("id"), "stays"), "line-stays")
-    known = unique.select("id", "h1", "h2", "times", "first").join(linked, "id", "left")
-    known = materialize(known.where("times > 1 OR stays IS NOT NULL").select("h1", "h2", F.coalesce("stays", "first").alias("stays")), "line-known")
+    linked = inside.join(stays, "component").select("h1", "h2", "stays")
+    known = linked.union(unique.where("times > 1").select("h1", "h2", "first"))  # a linked line's first isn't before what stays
+    known = materialize(known.groupBy("h1", "h2").agg(F.min("stays").alias("stays")), "line-known")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey", "pos")
     lost = slim.join(known, ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
     return lost.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
@@ -351,11 +387,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_lines, n_kept, removed (places from 0, joined by commas)."""
-    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    n = F.coalesce(ends + 1, F.lit(0)).cast("long")
-    slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), n.alias("n_lines")), "line-docs")
     with scratch():
-        gone = materialize(repeated_lines(docs), "line-removed", keep=True).toDF("line_doc", "line_text", "line_gone")
+        texts = cut_lines(docs)
+        heads = texts.where("pos = 0 OR pos IS NULL")
+        slim = materialize(heads.select("doc_id", "tkey", F.col("n_lines").cast("long").alias("n_lines")), "line-docs", keep=True)
+        gone = materialize(_repeated(texts), "line-removed", keep=True).toDF("line_doc", "line_text", "line_gone")
     same = F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.col("tkey") == F.col("line_text"))
     lost = F.coalesce(F.when(F.col("line_gone").isNotNull(), F.size("line_gone")), F.lit(0))
     return slim.join(gone, same, "left").select(
