@@ -241,7 +241,9 @@ def _left_pairs(told: DataFrame, lines: DataFrame) -> DataFrame:
     left = materialize(lines.select("id", "n", "norm").join(left, "id").withColumn("all", _hashes()), "line-left")
     fine = F.when(F.col("n") >= SIMILARITY * WIDE, F.array(*_parities(F.col("all"), FINE))).alias("fine")
     left = left.select("id", "family", "n", *_parities(F.col("all")), fine, F.array_distinct("all").alias("words"))
-    left = materialize(rare_words(materialize(left, "line-left")).drop("words"), "line-rare")  # or explode's filter makes it thrice
+    left = rare_words(materialize(left, "line-left")).drop("words")
+    left = left.withColumn("rare", F.transform("rare", lambda w: F.shiftright(w, 32).cast("int")))  # two that are one now only meet more lines
+    left = materialize(left, "line-rare")  # or explode's filter makes it thrice
     x, y = F.col("a.n"), F.col("b.n")
     most = _edits(F.greatest(x, y))
     meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.family") != F.col("b.family")) & _near("a.", "b.")
@@ -252,9 +254,9 @@ def _left_pairs(told: DataFrame, lines: DataFrame) -> DataFrame:
         return rows.alias("a").join(rows.alias("b"), meet & more).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
 
     word = F.explode("rare").alias("word")
-    own = ("id", "family", "n", *[f"p{k}" for k in range(PARITIES)])
-    short = pairs(left.where(F.col("n") <= WIDE).select(*own, word), F.lit(True)).distinct()
-    wide = left.where("fine IS NOT NULL").select(*own, "fine", "rare", word)
+    own = ("id", "family", "n", *[f"p{k}" for k in range(PARITIES)], "rare")
+    short = pairs(left.where(F.col("n") <= WIDE).select(*own, word), once)
+    wide = left.where("fine IS NOT NULL").select(*own, "fine", word)
     wide = pairs(wide, (F.greatest(x, y) > WIDE) & (apart <= 2 * most - F.abs(x - y)) & once)
     return materialize(short.union(wide), "line-rest")
 
