@@ -503,3 +503,13 @@ def test_distinct_lines_are_made_in_parts(spark, monkeypatch):
     assert all(r.n_kept == (r.doc_id + 1) % 2 for r in lines.line_digest(docs).collect())
     for parts in made.values():
         assert len(parts) == lines.PARTS > 1 and all(20 < len(x) < 60 for x in parts) and len({i for x in parts for i in x}) == 80
+
+
+def test_lines_are_cut_with_their_number(docs, spark):
+    """A row for each line and the number of a text's lines beside; null text has one row and no lines."""
+    with common.scratch():
+        rows = lines.cut_lines(docs).select("doc_id", "n_lines", "pos").collect()
+    texts = docs.select("doc_id", "text").collect()
+    right = sorted((str(r.doc_id), r.text.count("\n") + 1, k) for r in texts if r.text is not None for k in range(r.text.count("\n") + 1))
+    assert sorted((str(r.doc_id), r.n_lines, r.pos) for r in rows if r.pos is not None) == right
+    assert [(r.n_lines) for r in rows if r.pos is None] == [0] * sum(r.text is None for r in texts)

@@ -154,8 +154,10 @@ def in_company(keyed: DataFrame) -> DataFrame:
     def fits(short: Column, long: Column) -> Column:
         return F.coalesce(words(long) - words(short) <= _edits(words(long)), F.lit(False))
 
+    ends = Window.partitionBy("bucket")  # by itself, and so sorted by radix; most buckets hold one line
+    rows = keyed.select("bucket", "id", F.min("id").over(ends).alias("least"), F.max("id").over(ends).alias("most"))
     beside = Window.partitionBy("bucket").orderBy("id")
-    rows = keyed.select("bucket", "id", F.lag("id").over(beside).alias("lo"), F.lead("id").over(beside).alias("hi"))
+    rows = rows.where("least < most").select("bucket", "id", F.lag("id").over(beside).alias("lo"), F.lead("id").over(beside).alias("hi"))
     return rows.where(fits(F.col("lo"), F.col("id")) | fits(F.col("id"), F.col("hi"))).select("bucket", "id")
 
 
